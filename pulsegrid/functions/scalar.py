@@ -48,8 +48,9 @@ def mentions(c: Column | str, event_type: str = EVENT_TYPE) -> Column:
 
 
 def strict_int(c: Column | str) -> Column:
-    """Truncating integer conversion that fails the job on junk."""
-    return _col(c).cast("double").cast("int")
+    """Truncating integer conversion that fails the job on junk and on missing values."""
+    missing = F.raise_error(F.lit("missing number in annotation")).cast("int")
+    return F.coalesce(_col(c).cast("double").cast("int"), missing)
 
 
 def lenient_int(c: Column | str) -> Column:

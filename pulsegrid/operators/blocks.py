@@ -44,6 +44,20 @@ def attach_record_stats(
     return df.join(stats, [*keys, block])
 
 
+def join_spread(
+    df: DataFrame, table: DataFrame, on: list[str], along: str, keys: list[str], how: str = "inner",
+    size: int = BLOCK,
+) -> DataFrame:
+    """Join a table with one row per record or group onto rows without shuffling rows by record.
+
+    The table is joined onto the distinct (record, block) cells, one row per block, and the cells
+    onto the rows; `along` is the column blocks are cut along.
+    """
+    blocked = df.withColumn("_cell", F.coalesce(block_of(along, size), F.lit(-1)))
+    cells = blocked.select(*keys, "_cell").distinct().join(table, on, how)
+    return blocked.join(cells, [*keys, "_cell"], how).drop("_cell")
+
+
 def with_position(
     df: DataFrame, keys: list[str], order: list[str], block: str, name: str = "idx"
 ) -> DataFrame:

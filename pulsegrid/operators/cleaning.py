@@ -46,10 +46,10 @@ def elapsed_from_ticks(
     """Seconds since the record's first non-null tick in file order; records without any tick
     drop out."""
     blocked = df.withColumn("_block", block_of(pos, size))
-    first = F.min(F.when(F.col(ticks).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(ticks).alias("t"))))
+    at = F.when(F.col(ticks).isNotNull(), F.col(pos))
     out = attach_record_stats(
-        blocked, keys, "_block", {"_first": first},
-        lambda whole, ordered: {"_t0": F.min("_first").over(whole)["t"]},
+        blocked, keys, "_block", {"_t": F.min_by(ticks, at), "_p": F.min(at)},
+        lambda whole, ordered: {"_t0": F.min_by("_t", "_p").over(whole)},
     )
     return (
         out.where(F.col("_t0").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of, global_rank
+from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of, global_rank, join_spread
 from pulsegrid.operators.grid import context_names, context_windows
 from pulsegrid.schema import (
     ANCHOR, CHANNELS, DROP_PREFIXES, KEYS, LABEL, MAX_NULL_SHARE, WINDOW,
@@ -24,12 +24,15 @@ def distinct_records(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def raw_semi(raw: DataFrame, features: DataFrame, keys: list[str] = KEYS, strict: bool = False) -> DataFrame:
+def raw_semi(
+    raw: DataFrame, features: DataFrame, along: str = "sec", keys: list[str] = KEYS, strict: bool = False
+) -> DataFrame:
     """Raw rows of the records that have features.
 
-    The feature side is reduced to distinct records first; `strict` fails when nothing is shared.
+    Distinct records meet the raw rows through their time blocks; `strict` fails when nothing is
+    shared.
     """
-    out = raw.join(distinct_records(features, keys), keys, "left_semi")
+    out = join_spread(raw, distinct_records(features, keys), keys, along, keys, "left_semi")
     if strict and out.isEmpty():
         raise RuntimeError("features and raw recordings share no record")
     return out
@@ -39,20 +42,18 @@ def key_intersect(*frames: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.intersect(b), [f.select(*keys) for f in frames])
 
 
-def record_anchor(df: DataFrame, time: str = "time", keys: list[str] = KEYS) -> DataFrame:
+def record_anchor(df: DataFrame, time: str = "time") -> DataFrame:
     """`time_dt`: an artificial date per record (in record order) plus the seconds.
 
     Ranks are worked out over distinct records by range partitioning and spread back through the
     record's time blocks, so neither step sees one record as one task.
     """
     ranks = global_rank(df, "record", "_rank")
-    cells = df.select("record", block_of(time).alias("_cell")).distinct()
-    cells = cells.join(ranks, "record")
     base = F.lit(ANCHOR).cast("timestamp_ntz")
-    placed = df.withColumn("_cell", block_of(time)).join(cells, ["record", "_cell"])
     secs = F.round(F.col(time), 6).cast("decimal(18,6)")
     moved = base + F.make_dt_interval(days=F.col("_rank").cast("int"), secs=secs)
-    return placed.withColumn("time_dt", moved).drop("_cell", "_rank")
+    placed = join_spread(df, ranks, ["record"], time, ["record"])
+    return placed.withColumn("time_dt", moved).drop("_rank")
 
 
 def null_share(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -6,13 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.blocks import with_position
-from pulsegrid.schema import LABEL
+from pulsegrid.operators.blocks import join_spread, with_position
+from pulsegrid.schema import KEYS, LABEL
 
 # Up to this many groups the exact greedy rule runs over the (checked) group table; beyond it the
 # groups are dealt out in Spark.
 MAX_GREEDY_GROUPS = 100_000
-_SALTS = 32
 
 
 def group_class_counts(df: DataFrame, group: str = "grp", label: str = LABEL) -> DataFrame:
@@ -64,7 +63,7 @@ def dealt_folds(counts: DataFrame, k: int, group: str = "grp") -> DataFrame:
 
 def assign_folds(
     df: DataFrame, k: int, name: str = "fold", group: str = "grp", label: str = LABEL,
-    spread: list[str] | None = None, max_greedy: int = MAX_GREEDY_GROUPS,
+    along: str = "idx", keys: list[str] = KEYS, max_greedy: int = MAX_GREEDY_GROUPS,
 ) -> DataFrame:
     """Adds the fold number 0..k-1; no group is in two folds and every row is in one.
 
@@ -78,6 +77,4 @@ def assign_folds(
         table = df.sparkSession.createDataFrame(list(folds.items()), f"`{group}` {kind}, `{name}` int")
         return df.join(F.broadcast(table), group)  # at most max_greedy rows
     table = dealt_folds(counts, k, group).withColumnRenamed("fold", name)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    own = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(_SALTS)).cast("int")
-    return df.withColumn("_salt", own).join(salted, [group, "_salt"]).drop("_salt")
+    return join_spread(df, table, [group], along, keys)

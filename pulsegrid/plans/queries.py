@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import (
@@ -26,16 +26,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, *skip: str) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six digits, counts and flags to bigint, for comparison with other engines."""
-    def shown(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        if kind == "double" and name not in skip:
-            return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    def shown(name: str, kind: str) -> str:
+        if kind == "double":
+            return f"round(`{name}`, 6) + 0D as `{name}`"
         if kind in ("tinyint", "smallint", "int"):
-            return c.cast("bigint").alias(name)
-        return c
-    return df.select(*[shown(n, t) for n, t in df.dtypes])
+            return f"cast(`{name}` as bigint) as `{name}`"
+        return f"`{name}`"
+
+    return df.selectExpr(*[shown(n, t) for n, t in df.dtypes])
 
 
 # ---- sources, projection, cleaning ----
