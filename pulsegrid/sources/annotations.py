@@ -29,8 +29,8 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     Annotation files list the events of one recording, so one file is a small row.
     """
     texts = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).text(path, wholetext=True)
         .select(file_path().alias("path"), F.split("value", r"\r?\n").alias("lines"))
     )
     head = F.coalesce(F.array_position(F.transform("lines", _is_header), True), F.lit(0))
