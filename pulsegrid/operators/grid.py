@@ -114,41 +114,53 @@ def context_windows(
     samples out of the model. A slice that leaves the record's grid is null as a whole, gaps are
     null cells, a record without raw samples gives nulls.
 
-    No grid is built and nothing is joined: rows, samples and record bounds are stacked, keyed by
-    (record, block), and exact-offset RANGE frames pick the seconds. That is one exchange, one
-    sort and one window over samples plus rows, however sparse the signal is.
+    No grid is built and nothing is joined. Samples are first folded into cells of `window`
+    seconds, one array per channel, so any slice lies in a cell and the next one. Cells, rows and
+    record bounds are then stacked by (record, block) and each row picks its two cells with
+    RANGE frames: the sort and the frames see one row per cell instead of one per sample.
     """
     if alignment not in ("forward", "trailing"):
         raise ValueError(alignment)
-    forward = alignment == "forward"
-    own_cols = [F.col(c) for c in starts.columns]
     reach = window - 1
-    samples = with_halo(
-        per_second.select(*keys, "sec", *channels), "sec",
-        before=0 if forward else reach, after=reach if forward else 0, size=size,
-    ).select(*keys, "_block", F.col("sec").alias("_sec"), *[F.col(c).alias(f"_{c}") for c in channels])
-    bounds = record_bounds(per_second, keys).select(
+    names = sorted(channels)
+    per_block = max(1, size // window)
+    slot = F.col("sec") - F.col("_cell") * window
+    cells = (
+        per_second.withColumn("_cell", block_of("sec", window))
+        .groupBy(*keys, "_cell")
+        .agg(*[F.max(F.when(slot == j, F.col(c))).alias(f"_{c}_{j}") for c in names for j in range(window)])
+        .select(*keys, "_cell", *[F.array(*[f"_{c}_{j}" for j in range(window)]).alias(f"_{c}") for c in names])
+    )
+    cells = with_halo(cells, "_cell", after=1, size=per_block).drop("_own")
+    edges = record_bounds(per_second, keys).select(
         *keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
-        F.explode(F.sequence(block_of("lo", size), block_of("hi", size))).alias("_block"),
-    ).withColumn("_sec", F.col("_block") * size)
+        F.explode(F.sequence(
+            block_of(block_of(F.col("lo"), window), per_block), block_of(block_of(F.col("hi"), window), per_block)
+        )).alias("_block"),
+    )
+    bounds = edges.withColumn("_cell", F.col("_block") * per_block)
     second = round_seconds(time)
+    first = second if alignment == "forward" else second - reach
     rows = starts.select(
-        *keys, block_of(second, size).alias("_block"), second.alias("_sec"),
-        F.struct(*own_cols).alias("_row"),
-    )
-    stacked = rows.unionByName(samples, allowMissingColumns=True).unionByName(bounds, allowMissingColumns=True)
+        *keys, first.alias("_first"), block_of(first, window).alias("_cell"),
+        F.struct(*[F.col(c) for c in starts.columns]).alias("_row"),
+    ).withColumn("_block", block_of("_cell", per_block))
+    stacked = rows.unionByName(cells, allowMissingColumns=True).unionByName(bounds, allowMissingColumns=True)
 
-    home = Window.partitionBy(*keys, "_block").orderBy("_sec")
+    home = Window.partitionBy(*keys, "_block").orderBy("_cell")
     whole = home.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    picks = []
-    for c in sorted(channels):
-        for k in range(reach, -1, -1):
-            at = reach - k if forward else -k
-            picks.append(F.max(f"_{c}").over(home.rangeBetween(at, at)).alias(f"{c}_t-{k}"))
+    none = F.array(*[F.lit(None).cast("double")] * window)
     picked = stacked.select(
-        "_row", "_sec", F.max("_lo").over(whole).alias("_from"), F.max("_hi").over(whole).alias("_to"), *picks
+        "_row", "_first", "_cell", F.max("_lo").over(whole).alias("_from"), F.max("_hi").over(whole).alias("_to"),
+        *[F.first(f"_{c}", True).over(home.rangeBetween(at, at)).alias(f"_{c}_{at}") for c in names for at in (0, 1)],
     ).where(F.col("_row").isNotNull())
-    first = F.col("_sec") if forward else F.col("_sec") - reach
-    inside = (first >= F.col("_from")) & (first + reach <= F.col("_to"))
-    names = context_names(window, channels)
-    return picked.select("_row.*", *[F.when(inside, F.col(f"`{n}`")).alias(n) for n in names])
+    inside = (F.col("_first") >= F.col("_from")) & (F.col("_first") + reach <= F.col("_to"))
+    slices = picked.select(
+        "_row", (F.col("_first") - F.col("_cell") * window).cast("int").alias("_off"),
+        *[
+            F.when(inside, F.concat(F.coalesce(f"_{c}_0", none), F.coalesce(f"_{c}_1", none))).alias(f"_{c}")
+            for c in names
+        ],
+    )
+    out = [F.get(f"_{c}", F.col("_off") + (reach - k)).alias(f"{c}_t-{k}") for c in names for k in range(reach, -1, -1)]
+    return slices.select("_row.*", *out)

@@ -179,10 +179,8 @@ def generalization_offset(spark, sf):
 
 @query
 def window_features(spark, sf):
-    """Label the samples, place them, and take 15-sample windows every 5 samples."""
-    sig = views.signal(spark, sf)
-    lab = labeling.interval_label(sig, views.annotations(sig)).drop("pos")
-    return rounded(features.window_features(lab).select(*KEYS, "time", *FEATURES, "label"))
+    """Place the samples, label them, and take 15-sample windows every 5 samples."""
+    return rounded(views.features(spark, sf).select(*KEYS, "time", *FEATURES, "label"))
 
 
 @query
