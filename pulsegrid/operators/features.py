@@ -20,18 +20,23 @@ def window_members(
     pos: str | None = None,
     size: int = BLOCK,
 ) -> DataFrame:
-    """One row per (sample, window it belongs to): adds `window`, `idx` (window number) and `off`
-    (place of the sample inside the window).
-
-    Windows count samples, not seconds. A sample lies in at most ceil(window/step) windows, so
-    this grows the rows by a constant, and the grouping that follows combines them on the map
-    side; no frame is ever evaluated for rows between strides. `pos` names the sample's position
-    in its record where an earlier step has placed it already, which saves the counting pass.
+    """One row per (sample, window it belongs to): adds `window`, `idx` (window number), `off`
+    (place of the sample inside the window) and `_block` (block of the window's first sample).
+
+    Windows count samples, not seconds. Samples are shuffled once, by (record, block), together
+    with the few that windows of the block before reach into; a window's samples are then all in
+    one task, and grouping by (record, `_block`, window, idx) needs no further exchange. A sample
+    lies in at most ceil(window/step) windows, and nothing is evaluated between strides. `pos`
+    names the sample's position in its record where an earlier step has placed it already, which
+    saves the counting pass.
     """
     if pos is None:
-        placed = with_position(df.withColumn("_block", block_of(time, size)), keys, [time], "_block", "_pos")
+        placed = with_position(df.withColumn("_cell", block_of(time, size)), keys, [time], "_cell", "_pos").drop("_cell")
     else:
         placed = df.withColumn("_pos", F.col(pos))
+    # a sample belongs to windows that begin up to max(windows) - 1 positions before it
+    starts = F.sequence(block_of(F.greatest(F.lit(0), F.col("_pos") - (max(windows) - 1)), size), block_of("_pos", size))
+    spread = placed.withColumn("_block", F.explode(starts)).repartition(*keys, "_block")
     homes = [
         F.struct(
             F.lit(w).cast("smallint").alias("window"),
@@ -40,12 +45,15 @@ def window_members(
         for w in windows
         for back in range(math.ceil(w / step))
     ]
-    spread = placed.withColumn("_home", F.explode(F.array(*homes)))
+    members = spread.withColumn("_home", F.explode(F.array(*homes)))
     return (
-        spread.withColumn("window", F.col("_home.window"))
+        members.withColumn("window", F.col("_home.window"))
         .withColumn("idx", F.col("_home.idx"))
         .withColumn("off", F.col("_pos") - F.col("idx") * step)
-        .where((F.col("idx") >= 0) & (F.col("off") < F.col("window")))
+        .where(
+            (F.col("idx") >= 0) & (F.col("off") < F.col("window"))
+            & (block_of(F.col("idx") * step, size) == F.col("_block"))
+        )
         .drop("_home", "_pos")
     )
 
@@ -87,7 +95,7 @@ def window_features(
         ratio = f"Ratio_D{prefixes[0]}_D{prefixes[1]}"
         names.append(ratio)
     members = window_members(df, windows, step, time, keys, pos, size)
-    out = members.groupBy(*keys, "window", "idx").agg(*aggs).where(F.col("_n") == F.col("window"))
+    out = members.groupBy(*keys, "_block", "window", "idx").agg(*aggs).where(F.col("_n") == F.col("window"))
     if len(prefixes) > 1:
         out = out.withColumn(ratio, F.try_divide(f"Delta{prefixes[0]}", f"Delta{prefixes[1]}"))
     return out.select(*keys, "time", "window", "idx", *names, LABEL)
@@ -122,7 +130,7 @@ def band_power(
         ]
     grouped = (
         window_members(df, [window], step, time, keys, pos, size)
-        .groupBy(*keys, "window", "idx").agg(*aggs).where(F.col("_n") == window)
+        .groupBy(*keys, "_block", "window", "idx").agg(*aggs).where(F.col("_n") == window)
     )
 
     def power(k: int) -> Column:

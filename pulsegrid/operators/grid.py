@@ -115,9 +115,10 @@ def context_windows(
     null cells, a record without raw samples gives nulls.
 
     No grid is built and nothing is joined. Samples are first folded into cells of `window`
-    seconds, one array per channel, so any slice lies in a cell and the next one. Cells, rows and
-    record bounds are then stacked by (record, block) and each row picks its two cells with
-    RANGE frames: the sort and the frames see one row per cell instead of one per sample.
+    seconds, one array with the channels of each second side by side, so any slice lies in a cell
+    and the next one. Cells, rows and record bounds are then stacked by (record, block) and each
+    row picks its two cells with RANGE frames: the sort and the frames see one row per cell
+    instead of one per sample.
     """
     if alignment not in ("forward", "trailing"):
         raise ValueError(alignment)
@@ -125,11 +126,13 @@ def context_windows(
     names = sorted(channels)
     per_block = max(1, size // window)
     slot = F.col("sec") - F.col("_cell") * window
+    places = [(j, c) for j in range(window) for c in names]
     cells = (
         per_second.withColumn("_cell", block_of("sec", window))
+        .repartition(*keys, "_cell")  # before the pivot: its rows are wide, the samples are not
         .groupBy(*keys, "_cell")
-        .agg(*[F.max(F.when(slot == j, F.col(c))).alias(f"_{c}_{j}") for c in names for j in range(window)])
-        .select(*keys, "_cell", *[F.array(*[f"_{c}_{j}" for j in range(window)]).alias(f"_{c}") for c in names])
+        .agg(*[F.max(F.when(slot == j, F.col(c))).alias(f"_{j}_{c}") for j, c in places])
+        .select(*keys, "_cell", F.array(*[f"_{j}_{c}" for j, c in places]).alias("_values"))
     )
     cells = with_halo(cells, "_cell", after=1, size=per_block).drop("_own")
     edges = record_bounds(per_second, keys).select(
@@ -149,18 +152,18 @@ def context_windows(
 
     home = Window.partitionBy(*keys, "_block").orderBy("_cell")
     whole = home.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    none = F.array(*[F.lit(None).cast("double")] * window)
+    none = F.array(*[F.lit(None).cast("double")] * len(places))
     picked = stacked.select(
         "_row", "_first", "_cell", F.max("_lo").over(whole).alias("_from"), F.max("_hi").over(whole).alias("_to"),
-        *[F.first(f"_{c}", True).over(home.rangeBetween(at, at)).alias(f"_{c}_{at}") for c in names for at in (0, 1)],
+        F.first("_values", True).over(home.rangeBetween(0, 0)).alias("_here"),
+        F.first("_values", True).over(home.rangeBetween(1, 1)).alias("_next"),
     ).where(F.col("_row").isNotNull())
     inside = (F.col("_first") >= F.col("_from")) & (F.col("_first") + reach <= F.col("_to"))
-    slices = picked.select(
-        "_row", (F.col("_first") - F.col("_cell") * window).cast("int").alias("_off"),
-        *[
-            F.when(inside, F.concat(F.coalesce(f"_{c}_0", none), F.coalesce(f"_{c}_1", none))).alias(f"_{c}")
-            for c in names
-        ],
-    )
-    out = [F.get(f"_{c}", F.col("_off") + (reach - k)).alias(f"{c}_t-{k}") for c in names for k in range(reach, -1, -1)]
+    skipped = (F.col("_first") - F.col("_cell") * window).cast("int") * len(names)
+    both = F.concat(F.coalesce("_here", none), F.coalesce("_next", none))
+    slices = picked.select("_row", F.when(inside, F.slice(both, skipped + 1, len(places))).alias("_slice"))
+    out = [
+        F.get("_slice", F.lit((reach - k) * len(names) + i)).alias(f"{c}_t-{k}")
+        for i, c in enumerate(names) for k in range(reach, -1, -1)
+    ]
     return slices.select("_row.*", *out)

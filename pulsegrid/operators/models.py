@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.dataset import ffill_bfill
 from pulsegrid.operators.folds import assign_folds
-from pulsegrid.operators.scoring import class_weight, param_recap, with_rates
+from pulsegrid.operators.scoring import param_recap, with_rates
 from pulsegrid.operators.smoothing import firing_power, threshold_sweep
 from pulsegrid.schema import (
     INNER_FOLDS, KEYS, LABEL, OUTER_FOLDS, THRESHOLDS, WEIGHT_BOOST, WIDTHS,
@@ -58,26 +58,27 @@ def build_models(maxIter: int | None = None, maxDepth: int | None = None) -> dic
     }
 
 
-def with_weights(train: DataFrame, balanced: bool) -> DataFrame:
-    """Class weights from the training rows (two numbers)."""
-    row = class_weight(train, boost=WEIGHT_BOOST).first()
+def train_facts(train: DataFrame, cols: list[str], balanced: bool) -> tuple[list[str], float, float]:
+    """(columns with any value, weight of class 1, weight of class 0) in one pass; a column
+    without values cannot be imputed."""
+    counts = [F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]
+    row = train.agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("p"), *counts
+    ).first()
+    usable = [c for i, c in enumerate(cols) if row[f"c{i}"]]
+    n, p = row["n"], row["p"] or 0
     if balanced:
-        pos, neg = row["balanced_pos"], row["balanced_neg"]
-    else:
-        pos, neg = row["scale_pos"], 1.0
-    return train.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.lit(float(pos or 1.0))).otherwise(F.lit(float(neg or 1.0))))
-
-
-def usable_columns(train: DataFrame, cols: list[str]) -> list[str]:
-    """Columns with any value in the training rows; the others cannot be imputed."""
-    row = train.agg(*[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"c{i}"]]
+        return usable, n / (2 * p) if p else 1.0, n / (2 * (n - p)) if n > p else 1.0
+    return usable, (n - p) / p * WEIGHT_BOOST if p else float(WEIGHT_BOOST), 1.0
 
 
 def fit_pipeline(train: DataFrame, cols: list[str], spec: ModelSpec, params: dict | None = None) -> PipelineModel:
     """Mean imputation, standardisation and the classifier, learnt from `train` alone."""
-    cols = usable_columns(train, cols)
-    weighted = with_weights(train, spec.balanced).withColumn(LABEL, F.col(LABEL).cast("double"))
+    cols, pos, neg = train_facts(train, cols, spec.balanced)
+    weighted = train.withColumns({
+        WEIGHT: F.when(F.col(LABEL) == 1, F.lit(float(pos))).otherwise(F.lit(float(neg))),
+        LABEL: F.col(LABEL).cast("double"),
+    })
     filled = [f"_f{i}" for i in range(len(cols))]
     classifier = spec.make(**(params or {})).setFeaturesCol("features").setLabelCol(LABEL).setWeightCol(WEIGHT)
     stages = [

@@ -261,6 +261,10 @@ def with_views(sql: str) -> str:
     return (f"with {', '.join(parts)} " if parts else "") + sql
 
 
+def q(*cols: str) -> str:
+    return ", ".join(f'"{c}"' for c in cols)
+
+
 def r6(*cols: str) -> str:
     return ", ".join(f'round("{c}", 6) as "{c}"' for c in cols)
 
@@ -294,13 +298,13 @@ MEANS = [c for c in REPORT if c not in ("width", "threshold")]
 
 _isnull = lambda cols: " + ".join(f'case when "{c}" is null then 1 else 0 end' for c in cols)
 _fill = lambda c: (
-    f"round(coalesce(last_value({c} ignore nulls) over (partition by grp, record order by time_elapsed rows between "
+    f"coalesce(last_value({c} ignore nulls) over (partition by grp, record order by time_elapsed rows between "
     f"unbounded preceding and current row), first_value({c} ignore nulls) over (partition by grp, record order by "
-    f"time_elapsed rows between current row and unbounded following)), 6) as {c}"
+    f"time_elapsed rows between current row and unbounded following)) as {c}"
 )
 _last3 = lambda c, t: (
-    f"round(last_value({c} ignore nulls) over (partition by grp, record order by {t} range between 3 preceding and "
-    f"current row), 6) as {c}"
+    f"last_value({c} ignore nulls) over (partition by grp, record order by {t} range between 3 preceding and "
+    f"current row) as {c}"
 )
 _NULLS = f"""(select count(*) as n, sum({_isnull(CONTEXT)}) as raw, sum({_isnull(FEATURES)}) as features from data)"""
 
@@ -314,27 +318,27 @@ def _null_block(name: str, width: int, col: str) -> str:
 
 SQL: dict[str, str] = {
     "scan_filter": "select event_id, user_id, value from events where value > 50 and event_type = 'error'",
-    "signal": f"select grp, record, event_id, time_elapsed, {r6(*CH4)} from sig",
-    "clean_numbers": """select event_id, round(try_cast(regexp_replace(replace(hr_text, ',', '.'), '[^0-9.+eE-]', '', 'g')
-        as double), 6) as heart_rate from sig""",
+    "signal": f"select grp, record, event_id, time_elapsed, {q(*CH4)} from sig",
+    "clean_numbers": """select event_id, (try_cast(regexp_replace(replace(hr_text, ',', '.'), '[^0-9.+eE-]', '', 'g')
+        as double)) as heart_rate from sig""",
     "time_cast": """select event_id, try_cast(case when event_id % 5 = 0 then '12e'
         else cast(case when event_id % 13 <> 0 then cast(time_elapsed * 256 + 1000 + event_id % 2 as bigint) end as varchar)
         end as double) as ticks from sig""",
     "elapsed_from_ticks": """select event_id, round((t - first_value(t ignore nulls) over (partition by grp, record
         order by time_elapsed rows between unbounded preceding and unbounded following)) / 256, 6) as time_elapsed
         from (select *, case when event_id % 13 <> 0 then time_elapsed * 256 + 1000 + event_id % 2 end as t from sig)""",
-    "any_core_filter": f"""select grp, record, time_elapsed, {r6(*CH4)} from (select grp, record, time_elapsed, cadence,
+    "any_core_filter": f"""select grp, record, time_elapsed, {q(*CH4)} from (select grp, record, time_elapsed, cadence,
         case when event_id % 2 = 0 then activity end as activity,
         case when event_id % 3 = 0 then breathing_rate end as breathing_rate,
         case when event_id % 5 = 0 then heart_rate end as heart_rate from sig)
         where heart_rate is not null or breathing_rate is not null or activity is not null or cadence is not null""",
-    "nan_cleanup": "select event_id, case when event_id % 4 <> 0 then round(value, 6) end as value from events",
+    "nan_cleanup": "select event_id, case when event_id % 4 <> 0 then value end as value from events",
     "record_normalize": "select event_id, concat('R', cast(user_id as varchar)) as record from events",
     "time_unit_repair": "select event_id, case when substr(record, -1) in ('0','4','8') then time_elapsed else time_elapsed - min(time_elapsed) over (partition by record) end as time from sig",
-    "schema_fill": f"""select grp, record, {r6('activity')}, cast(null as double) as breathing_rate,
-        cast(null as double) as cadence, {r6('heart_rate')}, 0::bigint as label, time_elapsed from sig""",
+    "schema_fill": f"""select grp, record, activity, cast(null as double) as breathing_rate,
+        cast(null as double) as cadence, heart_rate, 0::bigint as label, time_elapsed from sig""",
     "round_half_even": "select event_id, cast(round_even(time_elapsed + (event_id % 4) * 0.5::double, 0) as bigint) as sec from sig",
-    "dedup_last": f"""select grp, record, event_id, sec, {r6('heart_rate', 'breathing_rate')} from (select *, row_number()
+    "dedup_last": f"""select grp, record, event_id, sec, heart_rate, breathing_rate from (select *, row_number()
         over (partition by grp, record, sec order by event_id desc) as rk from sparse) where rk = 1""",
     "incremental_skip": """select distinct concat('R', cast(user_id as varchar)) as record from events where user_id not in (
         select user_id from events where event_type = 'signup' group by user_id having count(*) >= 12)""",
@@ -354,16 +358,16 @@ SQL: dict[str, str] = {
     ),
     "feature_select": f"select grp, record, time, {r6(*FEATURES)}, label::bigint as label from feat10",
     "band_power": _band_power(),
-    "last_per_second": f"select grp, record, sec, {r6('breathing_rate', 'heart_rate')} from persec",
+    "last_per_second": f"select grp, record, sec, breathing_rate, heart_rate from persec",
     "span_guard": """select grp, record, min(s) as lo, max(s) as hi, max(s) - min(s) as span from (select *,
         case when record like '%7' then sec * 20000 else sec end as s from sparse) group by grp, record
         having max(s) - min(s) > 5000000 or max(s) > 10000000""",
-    "grid_1hz": f"select grp, record, sec, {r6('breathing_rate', 'heart_rate')} from grid",
+    "grid_1hz": f"select grp, record, sec, breathing_rate, heart_rate from grid",
     "resample_1hz": f"select grp, record, sec, {_last3('breathing_rate', 'sec')}, {_last3('heart_rate', 'sec')} from grid",
     "bounded_ffill": f"""select grp, record, cast(time_elapsed as bigint) as sec,
         {', '.join(_last3(c, 'time_elapsed') for c in CH4)} from sig""",
-    "context_forward": f"select c.grp, c.record, c.time, {r6(*CONTEXT)} from ctxf c join feat15 f on f.grp = c.grp and f.record = c.record and f.time = c.time",
-    "context_trailing": f"select c.grp, c.record, c.time, {r6(*CONTEXT)} from ctxt c join feat15 f on f.grp = c.grp and f.record = c.record and f.time = c.time",
+    "context_forward": f"select c.grp, c.record, c.time, {q(*CONTEXT)} from ctxf c join feat15 f on f.grp = c.grp and f.record = c.record and f.time = c.time",
+    "context_trailing": f"select c.grp, c.record, c.time, {q(*CONTEXT)} from ctxt c join feat15 f on f.grp = c.grp and f.record = c.record and f.time = c.time",
     "context_join": "select f.grp, f.record, f.time, round(f.HR_mean, 6) as HR_mean, f.label::bigint as label, " + ", ".join(
         f'case when f.time >= b.lo and f.time + 2 <= b.hi then round(g{j}.{c}, 6) end as "{c}_t-{2 - j}"'
         for c in ("breathing_rate", "heart_rate") for j in range(3)
@@ -373,7 +377,7 @@ SQL: dict[str, str] = {
         for j in range(3)
     ),
     "raw_semi": "select grp, record, event_id, sec from sparse where record in (select record from feat15 where label = 1)",
-    "diag_union": """select grp, record, time_elapsed, case when event_id % 2 = 0 then round(heart_rate, 6) end as heart_rate,
+    "diag_union": """select grp, record, time_elapsed, case when event_id % 2 = 0 then heart_rate end as heart_rate,
         case when event_id % 2 = 1 then cadence end as cadence from sig""",
     "key_intersect": """select record, time_elapsed from sig where event_type <> 'click' intersect
         select record, time_elapsed from sig where event_id % 3 <> 0""",

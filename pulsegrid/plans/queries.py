@@ -26,16 +26,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, counts and flags to bigint, for comparison with other engines."""
-    def shown(name: str, kind: str) -> str:
-        if kind == "double":
-            return f"round(`{name}`, 6) + 0D as `{name}`"
-        if kind in ("tinyint", "smallint", "int"):
-            return f"cast(`{name}` as bigint) as `{name}`"
-        return f"`{name}`"
+def exact(df: DataFrame) -> DataFrame:
+    """Counts and flags to bigint; doubles as they are (copies of input values)."""
+    narrow = ("tinyint", "smallint", "int")
+    return df.selectExpr(*[f"cast(`{n}` as bigint) as `{n}`" if t in narrow else f"`{n}`" for n, t in df.dtypes])
+
 
-    return df.selectExpr(*[shown(n, t) for n, t in df.dtypes])
+def rounded(df: DataFrame) -> DataFrame:
+    """As `exact`, with computed doubles to six digits for comparison with other engines."""
+    return exact(df.selectExpr(*[f"round(`{n}`, 6) + 0D as `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes]))
 
 
 # ---- sources, projection, cleaning ----
@@ -48,12 +47,12 @@ def scan_filter(spark, sf):
 
 @query
 def signal(spark, sf):
-    return rounded(views.signal(spark, sf).select(*KEYS, "event_id", TIME, *CHANNELS))
+    return exact(views.signal(spark, sf).select(*KEYS, "event_id", TIME, *CHANNELS))
 
 
 @query
 def clean_numbers(spark, sf):
-    return rounded(views.raw_text(spark, sf).select("event_id", clean_float("hr_text").alias("heart_rate")))
+    return exact(views.raw_text(spark, sf).select("event_id", clean_float("hr_text").alias("heart_rate")))
 
 
 @query
@@ -77,13 +76,13 @@ def any_core_filter(spark, sf):
         "breathing_rate": F.when(e % 3 == 0, F.col("breathing_rate")),
         "heart_rate": F.when(e % 5 == 0, F.col("heart_rate")),
     })
-    return rounded(cleaning.any_core_filter(thinned).select(*KEYS, TIME, *CHANNELS))
+    return exact(cleaning.any_core_filter(thinned).select(*KEYS, TIME, *CHANNELS))
 
 
 @query
 def nan_cleanup(spark, sf):
     x = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
-    return rounded(views.events(spark, sf).select("event_id", nan_to_null(x).alias("value")))
+    return exact(views.events(spark, sf).select("event_id", nan_to_null(x).alias("value")))
 
 
 @query
@@ -108,7 +107,7 @@ def time_unit_repair(spark, sf):
 @query
 def schema_fill(spark, sf):
     part = views.signal(spark, sf).select(*KEYS, TIME, "heart_rate", "activity", "event_id")
-    return rounded(cleaning.schema_fill(part))
+    return exact(cleaning.schema_fill(part))
 
 
 @query
@@ -120,7 +119,7 @@ def round_half_even(spark, sf):
 @query
 def dedup_last(spark, sf):
     out = cleaning.dedup_last(views.sparse(spark, sf), [*KEYS, "sec"], "event_id")
-    return rounded(out)
+    return exact(out)
 
 
 @query
@@ -211,7 +210,7 @@ def _per_second(spark, sf):
 
 @query
 def last_per_second(spark, sf):
-    return rounded(_per_second(spark, sf))
+    return exact(_per_second(spark, sf))
 
 
 @query
@@ -224,24 +223,24 @@ def span_guard(spark, sf):
 
 @query
 def grid_1hz(spark, sf):
-    return rounded(grid.grid_1hz(_per_second(spark, sf), SPARSE))
+    return exact(grid.grid_1hz(_per_second(spark, sf), SPARSE))
 
 
 @query
 def resample_1hz(spark, sf):
-    return rounded(grid.resample_1hz(_per_second(spark, sf), 3, SPARSE))
+    return exact(grid.resample_1hz(_per_second(spark, sf), 3, SPARSE))
 
 
 @query
 def bounded_ffill(spark, sf):
     dense = views.signal(spark, sf).select(*KEYS, F.col("pos").alias("sec"), *CHANNELS)
-    return rounded(grid.bounded_ffill(dense))
+    return exact(grid.bounded_ffill(dense))
 
 
 def _context(spark, sf, alignment):
     per_second = views.signal(spark, sf).select(*KEYS, F.col("pos").alias("sec"), *CHANNELS)
     starts = views.features(spark, sf).select(*KEYS, "time")
-    return rounded(grid.context_windows(starts, per_second, WINDOW, alignment))
+    return exact(grid.context_windows(starts, per_second, WINDOW, alignment))
 
 
 @query
@@ -275,7 +274,7 @@ def diag_union(spark, sf):
     sig = views.signal(spark, sf)
     a = sig.select(*KEYS, TIME, "heart_rate").where(F.col("event_id") % 2 == 0)
     b = sig.select(*KEYS, TIME, "cadence").where(F.col("event_id") % 2 == 1)
-    return rounded(dataset.diag_union([a, b]))
+    return exact(dataset.diag_union([a, b]))
 
 
 @query
@@ -323,7 +322,7 @@ def pruned_dataset(spark, sf):
 @query
 def ffill_bfill(spark, sf):
     sig = views.signal(spark, sf).select(*KEYS, TIME, "heart_rate", "breathing_rate", "cadence")
-    return rounded(dataset.ffill_bfill(sig, ["heart_rate", "breathing_rate", "cadence"], TIME))
+    return exact(dataset.ffill_bfill(sig, ["heart_rate", "breathing_rate", "cadence"], TIME))
 
 
 SCALED = ["HR_mean", "DeltaHR", "BR_std", "Cad_mean"]
