@@ -43,7 +43,7 @@ def key_intersect(*frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def record_anchor(df: DataFrame, time: str = "time") -> DataFrame:
-    """`time_dt`: an artificial date per record (in record order) plus the seconds.
+    """`anchor`: an artificial date per record (in record order); `time_dt`: anchor plus seconds.
 
     Ranks are worked out over distinct records by range partitioning and spread back through the
     record's time blocks, so neither step sees one record as one task.
@@ -51,9 +51,14 @@ def record_anchor(df: DataFrame, time: str = "time") -> DataFrame:
     ranks = global_rank(df, "record", "_rank")
     base = F.lit(ANCHOR).cast("timestamp_ntz")
     secs = F.round(F.col(time), 6).cast("decimal(18,6)")
-    moved = base + F.make_dt_interval(days=F.col("_rank").cast("int"), secs=secs)
     placed = join_spread(df, ranks, ["record"], time, ["record"])
-    return placed.withColumn("time_dt", moved).drop("_rank")
+    dated = placed.withColumn("anchor", base + F.make_dt_interval(days=F.col("_rank").cast("int")))
+    return dated.withColumn("time_dt", F.col("anchor") + F.make_dt_interval(secs=secs)).drop("_rank")
+
+
+def ordered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in a total order, for output only (a range-partitioned sort)."""
+    return df.orderBy(*by)
 
 
 def null_share(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -25,10 +25,11 @@ def elapsed_by_position(
 
 def event_runs(
     df: DataFrame, flag: str, step: int = STEP, min_gap: int = 1, pos: str = "idx",
-    keys: list[str] = EVENT, size: int = BLOCK,
+    keys: list[str] = EVENT, size: int = BLOCK, clock: str | None = None,
 ) -> DataFrame:
     """Runs of `flag` = 1 per record as (i0, i1, n, start_s, end_s); end is the last positive.
 
+    Seconds are position * step, or the times in column `clock` (whole seconds) if one is named.
     Runs separated by fewer than `min_gap` zeros count as one. Runs are found inside blocks first;
     only those within reach of a block border (at most a few per block) are then chained per
     record, so the record-wide step sees a tiny fraction of the samples. `min_gap` must not
@@ -44,11 +45,17 @@ def event_runs(
         running = w.rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(running))
 
-    ones = df.where(F.col(flag) == 1).select(*keys, F.col(pos).alias("_i"), block_of(pos, size).alias("_block"))
+    seconds = F.col(pos) * step if clock is None else F.rint(clock).cast("bigint")
+    ones = df.where(F.col(flag) == 1).select(
+        *keys, F.col(pos).alias("_i"), block_of(pos, size).alias("_block"), seconds.alias("_s")
+    )
     local = (
         numbered(ones, "_block", "_i", "_i")
         .groupBy(*keys, "_block", "_run")
-        .agg(F.min("_i").alias("i0"), F.max("_i").alias("i1"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.min("_i").alias("i0"), F.max("_i").alias("i1"), F.count(F.lit(1)).alias("n"),
+            F.min("_s").alias("start_s"), F.max("_s").alias("end_s"),
+        )
     )
     at_border = (F.col("i0") - F.col("_block") * size < min_gap) | (
         (F.col("_block") + 1) * size - 1 - F.col("i1") < min_gap
@@ -57,25 +64,26 @@ def event_runs(
     runs = (
         numbered(parts, "_part", "i0", "i1")
         .groupBy(*keys, "_part", "_run")
-        .agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"))
-    )
-    return runs.select(
-        *keys, "i0", "i1", "n",
-        (F.col("i0") * step).alias("start_s"), (F.col("i1") * step).alias("end_s"),
+        .agg(
+            F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"),
+            F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
+        )
     )
+    return runs.drop("_part", "_run")
 
 
 def both_runs(
     decided: DataFrame, step: int = STEP, min_gap: int = 1, label: str = "label", pred: str = "pred",
-    keys: list[str] = EVENT, size: int = BLOCK,
+    keys: list[str] = EVENT, size: int = BLOCK, clock: str | None = None,
 ) -> DataFrame:
     """Runs of true and of predicted samples in one pass over `decided`; `kind` tells them apart."""
     flags = F.array(
         F.struct(F.lit("true").alias("kind"), F.col(label).cast("int").alias("_flag")),
         F.struct(F.lit("pred").alias("kind"), F.col(pred).cast("int").alias("_flag")),
     )
-    rows = decided.select(*keys, "idx", F.explode(flags).alias("_k")).select(*keys, "idx", "_k.kind", "_k._flag")
-    return event_runs(rows, "_flag", step, min_gap, "idx", ["kind", *keys], size)
+    held = [*keys, "idx"] + ([clock] if clock else [])
+    rows = decided.select(*held, F.explode(flags).alias("_k")).select(*held, "_k.kind", "_k._flag")
+    return event_runs(rows, "_flag", step, min_gap, "idx", ["kind", *keys], size, clock)
 
 
 def of_kind(runs: DataFrame, kind: str) -> DataFrame:

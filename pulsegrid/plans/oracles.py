@@ -383,7 +383,9 @@ SQL: dict[str, str] = {
         select record, time_elapsed from sig where event_id % 3 <> 0""",
     "distinct_records": "select distinct grp, record from sig",
     "record_anchor": """select record, time + 0.25::double as time, timestamp '2000-01-01' + to_microseconds(cast(
-        (dense_rank() over (order by record) - 1) * 86400000000 + round((time + 0.25) * 1000000) as bigint)) as time_dt from feat15""",
+        (dense_rank() over (order by record) - 1) * 86400000000 + round((time + 0.25) * 1000000) as bigint)) as time_dt,
+        cast(floor(time + 0.25) as bigint) as elapsed_s from feat15""",
+    "ordered_features": "select record, time, idx, label::bigint as label from feat15 order by record, time, idx",
     "null_share": "select * from (" + " union all ".join(
         f"""select '{c}' as "column", round(avg(case when "{c}" is null then 1.0::double else 0 end), 6) as null_share from data"""
         for c in FEATURES + CONTEXT

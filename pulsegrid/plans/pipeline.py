@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import models as M
 from pulsegrid.operators.cleaning import dedup_last, schema_fill
-from pulsegrid.operators.dataset import assemble, diag_union, raw_semi
+from pulsegrid.operators.dataset import assemble, diag_union, null_report, raw_semi
 from pulsegrid.operators.events import both_runs, event_overlap, of_kind
 from pulsegrid.operators.features import window_features
 from pulsegrid.operators.grid import last_per_second, record_bounds, span_guard, with_second
 from pulsegrid.operators.labeling import annotation_clean, event_type_filter, generalization_offset, interval_label, record_annotations
 from pulsegrid.operators.scoring import (
-    false_negatives, false_positives, fold_mean, fold_report, importance_rank, true_events, true_positives,
+    false_negatives, false_positives, fold_counts, fold_mean, fold_report, hit_rates, importance_rank, param_recap,
+    param_top, proba_stats, split_summary, true_events, true_positives,
 )
 from pulsegrid.schema import EVENT_TYPE, FINAL_THRESHOLD, FINAL_WIDTH, KEYS, LABEL, TIME, WINDOW
 from pulsegrid.session import cut_lineage
@@ -93,7 +94,7 @@ def evaluate(
     cv = M.nested_cv(dataset, feature_columns(dataset), models, outer, inner)
     notes = annotation_clean(annotations_of(spark, at, signal, False, rule), strict=False)
     ann = cut_lineage(generalization_offset(notes))
-    reports = []
+    reports, told = [], {}
     for name in models:
         if name in cv.failures:
             continue
@@ -101,16 +102,31 @@ def evaluate(
         runs = cut_lineage(both_runs(decided))
         truth, pred = of_kind(runs, "true"), of_kind(runs, "pred")
         pairs = event_overlap(pred, truth)
-        rows = true_events(truth, pred, ann)
+        gt = true_events(truth, pred, ann)
+        tp, fp, fn = true_positives(pairs, gt), false_positives(pred, pairs), false_negatives(truth, pairs)
         write_reports(at.of("reports"), name, {
-            "true_positives": true_positives(pairs, rows), "false_positives": false_positives(pred, pairs),
-            "false_negatives": false_negatives(truth, pairs), "true_events": rows,
+            "true_positives": tp, "false_positives": fp, "false_negatives": fn, "true_events": gt,
         })
+        tried = cv.inner.where(F.col("model") == name)
+        choice = ["choice", "width", "threshold"]
+        told |= {
+            f"{name}_fold_counts": fold_counts(tp, fp, fn, gt),
+            f"{name}_proba_stats": proba_stats(decided, ["fold"]),
+            f"{name}_hit_rates": hit_rates(decided),
+            f"{name}_splits": split_summary(decided, list(range(outer))),
+            f"{name}_params": param_recap(tried, choice),
+            f"{name}_params_by_fold": param_top(tried, choice),
+        }
         per_fold = fold_report(decided, ann, name, 0, 0.0).drop("width", "threshold")
         reports.append(per_fold.join(F.broadcast(cv.chosen), ["model", "fold"]))  # one row per fold
     report = cut_lineage(diag_union(reports))
     means = fold_mean(report.drop("params"))
-    write_summary(at.of("reports"), report, cv.failures, importance_rank(cv.importances))
+    raw = [c for c in dataset.columns if "_t-" in c]
+    told |= {
+        "results": report, "means": means, "feature_importances": importance_rank(cv.importances),
+        "nulls": null_report(dataset, [c for c in feature_columns(dataset) if c not in raw], raw),
+    }
+    write_summary(at.of("reports"), cv.failures, told)
     return means
 
 

@@ -293,7 +293,14 @@ def distinct_records(spark, sf):
 @query
 def record_anchor(spark, sf):
     feats = views.features(spark, sf).select("record", (F.col("time") + 0.25).alias("time"))
-    return dataset.record_anchor(feats)
+    out = dataset.record_anchor(feats)
+    return out.select("record", "time", "time_dt", F.timestamp_diff("SECOND", "anchor", "time_dt").alias("elapsed_s"))
+
+
+@query
+def ordered_features(spark, sf):
+    feats = views.features(spark, sf).select("record", "time", "idx", "label")
+    return exact(dataset.ordered(feats, ["record", "time", "idx"]))
 
 
 CONTEXT = grid.context_names()

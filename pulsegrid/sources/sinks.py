@@ -17,11 +17,12 @@ def write_reports(path: str, model: str, reports: dict[str, DataFrame]) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{path}/{model}_{name}")
 
 
-def write_summary(path: str, results: DataFrame, failures: dict[str, str], importances: DataFrame) -> None:
-    """Results, failures and feature importances as JSON lines."""
-    spark = results.sparkSession
+def write_summary(path: str, failures: dict[str, str], tables: dict[str, DataFrame]) -> None:
+    """Results, feature importances and whatever else is told about a run, and the failures, as
+    JSON lines."""
+    spark = next(iter(tables.values())).sparkSession
     failed = spark.createDataFrame(list(failures.items()), "model string, error string")
-    for name, df in (("results", results), ("failures", failed), ("feature_importances", importances)):
+    for name, df in {**tables, "failures": failed}.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 

@@ -166,6 +166,12 @@ def test_event_runs(spark, runs_input, size, gap):
     assert sorted((r.record, r.i0, r.i1, r.n) for r in got.collect()) == sorted((rec, *run) for rec, run in want)
 
 
+def test_runs_on_the_record_clock(spark):
+    df = spark.range(0, 40).selectExpr("0 as fold", "'P' as grp", "'R' as record", "id as idx", "id * 5 + 14.0D as time", "cast(id in (2, 3, 9) as int) as label")
+    got = sorted((r.start_s, r.end_s) for r in events.event_runs(df, "label", clock="time", size=3).collect())
+    assert got == [(24, 29), (59, 59)]
+
+
 def test_runs_through_whole_blocks(spark):
     df = spark.range(0, 100).selectExpr("0 as fold", "'P' as grp", "'R' as record", "id as idx", "cast(id between 3 and 95 as int) as label")
     assert [(r.i0, r.i1, r.n) for r in events.event_runs(df, "label", size=8).collect()] == [(3, 95, 93)]

@@ -109,6 +109,9 @@ def test_whole_pipeline(spark, folders):
 
     gt = spark.read.option("header", True).csv(folders.of("reports/gbt_true_events"))
     assert gt.count() == 24 and "gen_latency_s" in gt.columns
+    splits = spark.read.json(folders.of("reports/gbt_splits")).where("tag = 'TEST'")
+    assert splits.agg(F.sum("events"), F.sum("groups")).first()[:] == (24, 6)
+    assert spark.read.json(folders.of("reports/gbt_params")).count() == 2
     failures = spark.read.json(folders.of("reports/failures")).collect()
     assert [f.model for f in failures] == ["broken"]
     assert spark.read.json(folders.of("reports/feature_importances")).count() > 0
