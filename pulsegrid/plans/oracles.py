@@ -371,16 +371,16 @@ SQL: dict[str, str] = {
     "context_join": "select f.grp, f.record, f.time, round(f.HR_mean, 6) as HR_mean, f.label::bigint as label, " + ", ".join(
         f'case when f.time >= b.lo and f.time + 2 <= b.hi then round(g{j}.{c}, 6) end as "{c}_t-{2 - j}"'
         for c in ("breathing_rate", "heart_rate") for j in range(3)
-    ) + """ from feat15 f left join (select grp, record, min(sec) as lo, max(sec) as hi from persec where record not like '%4'
+    ) + """ from feat15 f left join (select grp, record, min(sec) as lo, max(sec) as hi from persec
         group by grp, record) b on b.grp = f.grp and b.record = f.record """ + " ".join(
-        f"left join persec g{j} on g{j}.grp = f.grp and g{j}.record = f.record and g{j}.sec = f.time + {j} and g{j}.record not like '%4'"
+        f"left join persec g{j} on g{j}.grp = f.grp and g{j}.record = f.record and g{j}.sec = f.time + {j}"
         for j in range(3)
     ),
     "raw_semi": "select grp, record, event_id, sec from sparse where record in (select record from feat15 where label = 1)",
-    "diag_union": """select grp, record, time_elapsed, case when event_id % 2 = 0 then heart_rate end as heart_rate,
-        case when event_id % 2 = 1 then cadence end as cadence from sig""",
+    "diag_union": """select grp, record, time_elapsed, case when event_type = 'error' then heart_rate end as heart_rate,
+        case when event_type <> 'error' then cadence end as cadence from sig""",
     "key_intersect": """select record, time_elapsed from sig where event_type <> 'click' intersect
-        select record, time_elapsed from sig where event_id % 3 <> 0""",
+        select record, time_elapsed from sig where activity > 0.2""",
     "distinct_records": "select distinct grp, record from sig",
     "record_anchor": """select record, time + 0.25::double as time, timestamp '2000-01-01' + to_microseconds(cast(
         (dense_rank() over (order by record) - 1) * 86400000000 + round((time + 0.25) * 1000000) as bigint)) as time_dt,

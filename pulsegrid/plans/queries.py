@@ -255,8 +255,8 @@ def context_trailing(spark, sf):
 
 @query
 def context_join(spark, sf):
-    """Features with raw context over a sparse grid; a quarter of the records has no raw rows."""
-    raw = _per_second(spark, sf).where(F.substring("record", -1, 1) != "4")
+    """Features with raw context from a sparse grid."""
+    raw = _per_second(spark, sf)
     starts = views.features(spark, sf).select(*KEYS, "time", "HR_mean", "label")
     return rounded(grid.context_windows(starts, raw, 3, "forward", SPARSE))
 
@@ -272,8 +272,9 @@ def raw_semi(spark, sf):
 @query
 def diag_union(spark, sf):
     sig = views.signal(spark, sf)
-    a = sig.select(*KEYS, TIME, "heart_rate").where(F.col("event_id") % 2 == 0)
-    b = sig.select(*KEYS, TIME, "cadence").where(F.col("event_id") % 2 == 1)
+    error = F.col("event_type") == "error"
+    a = sig.where(error).select(*KEYS, TIME, "heart_rate")
+    b = sig.where(~error).select(*KEYS, TIME, "cadence")
     return exact(dataset.diag_union([a, b]))
 
 
@@ -281,7 +282,7 @@ def diag_union(spark, sf):
 def key_intersect(spark, sf):
     sig = views.signal(spark, sf)
     return dataset.key_intersect(
-        sig.where(F.col("event_type") != "click"), sig.where(F.col("event_id") % 3 != 0), keys=["record", TIME]
+        sig.where(F.col("event_type") != "click"), sig.where(F.col("activity") > 0.2), keys=["record", TIME]
     )
 
 

@@ -7,11 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
+# Shuffles start with partitions of about this size; AQE merges those that turn out small.
+PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 100_000
+
+
+def initial_partitions(input_bytes: int) -> int:
+    return min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app: str = "pulsegrid", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
     AQE stays on (runtime coalescing, skew splits, size-checked broadcast); the time zone is
-    pinned because recordings carry zone-less timestamps.
+    pinned because recordings carry zone-less timestamps. `input_bytes` sizes the shuffles.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -24,6 +35,8 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
     }
+    if input_bytes:
+        defaults["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions(input_bytes))
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -32,13 +32,14 @@ def rows_of(names, rows):
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-FAMILY = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "bigint", "string": "VARCHAR"}
+SQL_TYPE = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
 
 
 def compare(spark, con, name, fn, sql, sf):
-    """(ok, message)"""
+    """(ok, message, physical plan)"""
     t0 = time.time()
     df = fn(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
     got = rows_of(df.columns, df.collect())
     print(f"[{time.time() - t0:.1f}s]", end=" ")
     cur = con.execute(sql)
@@ -46,14 +47,14 @@ def compare(spark, con, name, fn, sql, sf):
     types = {d[0]: str(d[1]) for d in cur.description}
     want = rows_of(cols, cur.fetchall())
     if sorted(df.columns) != sorted(cols):
-        return False, f"columns {sorted(df.columns)} != {sorted(cols)}"
-    odd = {n: (t, types[n]) for n, t in df.dtypes if {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}.get(t, t) != types[n]}
+        return False, f"columns {sorted(df.columns)} != {sorted(cols)}", plan
+    odd = {n: (t, types[n]) for n, t in df.dtypes if SQL_TYPE.get(t, t) != types[n]}
     if len(got) != len(want):
-        return False, f"{len(got)} rows != {len(want)}"
+        return False, f"{len(got)} rows != {len(want)}", plan
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
-        return False, f"{len(bad)} of {len(got)} rows differ, e.g. {bad[0]}"
-    return (not odd), f"{len(got)} rows{' types ' + str(odd) if odd else ''}"
+        return False, f"{len(bad)} of {len(got)} rows differ, e.g. {bad[0]}", plan
+    return (not odd), f"{len(got)} rows{' types ' + str(odd) if odd else ''}", plan
 
 
 if __name__ == "__main__":
@@ -72,7 +73,7 @@ if __name__ == "__main__":
         t = time.time()
         try:
             if name in oracles:
-                ok, text = compare(spark, con, name, fn, oracles[name], sf)
+                ok, text, _ = compare(spark, con, name, fn, oracles[name], sf)
             else:
                 ok, text = True, f"{len(fn(spark, sf).collect())} rows (no SQL)"
         except Exception as e:

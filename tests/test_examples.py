@@ -192,6 +192,59 @@ def test_folds(spark, limit):
     assert len(positives) == 4 and min(positives) > 0
 
 
+def test_greedy_folds_follow_the_rule():
+    """Against a plain re-telling of the rule."""
+    import statistics
+
+    rng = __import__("random").Random(5)
+    for k in (2, 3, 5):
+        groups = [(f"g{i:02d}", n := rng.randint(5, 60), rng.randint(0, n // 2)) for i in range(14)]
+        total = [sum(n - p for _, n, p in groups), sum(p for _, _, p in groups)]
+        held = [[0, 0] for _ in range(k)]
+        want = {}
+        for g, n, p in sorted(groups, key=lambda t: (-statistics.pstdev([t[1] - t[2], t[2]]), t[0])):
+            trials = []
+            for f in range(k):
+                now = [[h[0] + (n - p) * (i == f), h[1] + p * (i == f)] for i, h in enumerate(held)]
+                spread = sum(statistics.pstdev([h[c] / total[c] for h in now]) for c in (0, 1)) / 2
+                trials.append((round(spread, 9), sum(held[f]), f))
+            f = min(trials)[2]
+            held[f] = [held[f][0] + n - p, held[f][1] + p]
+            want[g] = f
+        assert folds.greedy_folds(groups, k) == want
+
+
+def test_records_without_raw_get_null_context(spark):
+    starts = spark.createDataFrame([("P", "R", 3.0), ("P", "X", 3.0)], "grp string, record string, time double")
+    raw = spark.range(10).selectExpr("'P' as grp", "'R' as record", "id as sec", "id * 1.0D as heart_rate")
+    got = {r.record: (r["heart_rate_t-1"], r["heart_rate_t-0"]) for r in grid.context_windows(starts, raw, 2, "trailing", ["heart_rate"]).collect()}
+    assert got == {"R": (2.0, 3.0), "X": (None, None)}
+
+
+def test_held_out_rows_do_not_leak_and_scaling_is_right(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+
+    from pulsegrid.operators import models
+
+    rng = np.random.default_rng(0)
+    rows = [(i % 3, int(i % 4 == 0), float(rng.normal() + (i % 4 == 0)), None if i % 5 == 0 else float(rng.normal()), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "fold int, label int, a double, b double, empty double")
+    spec = models.ModelSpec("lr", lambda **p: LogisticRegression(maxIter=20, **p), balanced=True)
+    train, test = df.where("fold <> 0"), df.where("fold = 0")
+    model = models.fit_pipeline(train, ["a", "b", "empty"], spec)
+    assert model.stages[0].getInputCols() == ["a", "b"]
+    flipped = models.score(model, test.withColumn("label", 1 - F.col("label")), ["a"])
+    assert as_set(flipped) == as_set(models.score(model, test, ["a"]))
+    t = [r for r in rows if r[0]]
+    b = np.array([np.nan if r[3] is None else r[3] for r in t])
+    b = np.where(np.isnan(b), np.nanmean(b), b)
+    want = sorted(np.round((b - b.mean()) / b.std(ddof=1), 6))
+    got = sorted(round(float(r.features[1]), 6) for r in model.transform(train.withColumn("label", F.col("label").cast("double"))).collect())
+    np.testing.assert_allclose(got, want, atol=1e-5)
+    assert dict(models.importances(model)).keys() == {"a", "b"}
+
+
 def test_greedy_folds_balance_classes():
     groups = [(f"g{i}", 100 + i, 10 if i % 2 else 0) for i in range(12)]
     placed = folds.greedy_folds(groups, 3)

@@ -22,18 +22,6 @@ def sig(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-EAGER = {  # fit models or cut lineage before they return
-    "nested_cv", "importance_rank", "ml_pipeline", "gbt_scores", "lr_scores", "svm_scores",
-}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
-def test_no_python_and_no_cartesian(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
-    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "PythonRDD"):
-        assert bad not in text
-
-
 def test_placed_features_need_one_exchange(sig):
     assert plan(features.window_features(sig, pos="pos")).count("Exchange hashpartitioning") == 1
 
