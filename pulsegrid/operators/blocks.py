@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +25,13 @@ def block_of(c: Column | str, size: int = BLOCK) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks to use where a small table unfolds into many rows: AQE would merge by bytes and leave
+    the unfolding to a few tasks, so the number is given explicitly."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(first or 0))
+
+
 def attach_record_stats(
     df: DataFrame,
     keys: list[str],
@@ -101,8 +108,7 @@ def global_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """
     from pulsegrid.session import cut_lineage
 
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = task_count(df.sparkSession)
     ranged = cut_lineage(
         df.select(col).distinct()
         .repartitionByRange(tasks, col)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions import nan_to_null, round_seconds
-from pulsegrid.operators.blocks import BLOCK, block_of, with_halo
+from pulsegrid.operators.blocks import BLOCK, block_of, task_count, with_halo
 from pulsegrid.schema import (
     CHANNELS, KEYS, MAX_FILL_AGE_S, MAX_SECOND, MAX_SPAN_S, WINDOW,
 )
@@ -56,7 +56,7 @@ def grid_skeleton(bounds: DataFrame, size: int = BLOCK) -> DataFrame:
     """Every second of [lo, hi], generated block by block so that one long record is spread."""
     keys = [c for c in bounds.columns if c not in ("lo", "hi")]
     blocks = bounds.withColumn("_block", F.explode(F.sequence(block_of("lo", size), block_of("hi", size))))
-    spread = blocks.repartition(*keys, "_block")
+    spread = blocks.repartition(task_count(bounds.sparkSession), *keys, "_block")
     first = F.greatest(F.col("lo"), F.col("_block") * size)
     final = F.least(F.col("hi"), (F.col("_block") + 1) * size - 1)
     return spread.select(*keys, F.explode(F.sequence(first, final)).alias("sec"))
