@@ -78,7 +78,7 @@ def _small_cv(spark, sf):
 def nested_cv(spark, sf):
     """Fold reports of a two-by-two nested cross-validation."""
     result = _small_cv(spark, sf)
-    ann = views.scoring_annotations(views.signal(spark, sf))
+    ann = views.scoring_annotations(views.annotations(views.signal(spark, sf)))
     report = scoring.fold_report(result.decided, ann, "gbt", 0, 0.0).drop("width", "threshold")
     return report.join(F.broadcast(result.chosen.drop("params")), ["model", "fold"])  # one row per fold
 

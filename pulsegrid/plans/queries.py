@@ -367,21 +367,23 @@ def threshold_sweep(spark, sf):
         "width", F.col("width").cast("bigint")).withColumn("fold", F.col("fold").cast("bigint"))
 
 
-def _truth_pred(spark, sf):
+def _truth_pred(spark, sf, ann=None):
     """True and predicted runs. The small run table is read several times, so its lineage is cut."""
-    runs = cut_lineage(events.both_runs(views.decided(spark, sf)))
+    runs = cut_lineage(events.both_runs(views.decided(spark, sf, ann)))
     return events.of_kind(runs, "true"), events.of_kind(runs, "pred")
 
 
+def _with_annotations(spark, sf):
+    """Runs and the annotations they are scored against, from one annotation table."""
+    ann = cut_lineage(views.annotations(views.signal(spark, sf)))
+    return *_truth_pred(spark, sf, ann), views.scoring_annotations(ann)
+
+
 def _pairs(spark, sf):
     truth, pred = _truth_pred(spark, sf)
     return events.event_overlap(pred, truth)
 
 
-def _scoring_ann(spark, sf):
-    return views.scoring_annotations(views.signal(spark, sf))
-
-
 @query
 def event_runs(spark, sf):
     return rounded(events.both_runs(views.decided(spark, sf)))
@@ -418,8 +420,8 @@ def false_negatives(spark, sf):
 
 @query
 def nearest_onset(spark, sf):
-    truth, _ = _truth_pred(spark, sf)
-    out = events.nearest_onset(truth, _scoring_ann(spark, sf))
+    truth, _, ann = _with_annotations(spark, sf)
+    out = events.nearest_onset(truth, ann)
     return rounded(out.select("fold", "record", "start_s", "onset", "gen_offset"))
 
 
@@ -433,22 +435,22 @@ def first_hit(spark, sf):
 
 @query
 def true_events(spark, sf):
-    truth, pred = _truth_pred(spark, sf)
-    return rounded(scoring.true_events(truth, pred, _scoring_ann(spark, sf)).drop("grp"))
+    truth, pred, ann = _with_annotations(spark, sf)
+    return rounded(scoring.true_events(truth, pred, ann).drop("grp"))
 
 
 @query
 def true_positives(spark, sf):
-    truth, pred = _truth_pred(spark, sf)
-    rows = scoring.true_events(truth, pred, _scoring_ann(spark, sf))
+    truth, pred, ann = _with_annotations(spark, sf)
+    rows = scoring.true_events(truth, pred, ann)
     return rounded(scoring.true_positives(events.event_overlap(pred, truth), rows).drop("grp"))
 
 
 @query
 def fold_counts(spark, sf):
-    truth, pred = _truth_pred(spark, sf)
+    truth, pred, ann = _with_annotations(spark, sf)
     pairs = events.event_overlap(pred, truth)
-    gt = scoring.true_events(truth, pred, _scoring_ann(spark, sf))
+    gt = scoring.true_events(truth, pred, ann)
     return rounded(scoring.fold_counts(
         scoring.true_positives(pairs, gt), scoring.false_positives(pred, pairs),
         scoring.false_negatives(truth, pairs), gt,
@@ -456,8 +458,7 @@ def fold_counts(spark, sf):
 
 
 def _latencies(spark, sf):
-    truth, pred = _truth_pred(spark, sf)
-    return scoring.detection_latencies(truth, pred, _scoring_ann(spark, sf))
+    return scoring.detection_latencies(*_with_annotations(spark, sf))
 
 
 @query
@@ -497,9 +498,9 @@ def roc_auc(spark, sf):
 
 
 def _report(spark, sf):
-    return scoring.fold_report(
-        cut_lineage(views.decided(spark, sf)), _scoring_ann(spark, sf), "stand-in", views.WIDTH, views.LEVEL
-    )
+    ann = cut_lineage(views.annotations(views.signal(spark, sf)))
+    decided = cut_lineage(views.decided(spark, sf, ann))
+    return scoring.fold_report(decided, views.scoring_annotations(ann), "stand-in", views.WIDTH, views.LEVEL)
 
 
 @query

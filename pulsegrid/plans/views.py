@@ -73,26 +73,28 @@ def annotations(sig: DataFrame) -> DataFrame:
     )
 
 
-def scoring_annotations(sig: DataFrame) -> DataFrame:
+def scoring_annotations(ann: DataFrame) -> DataFrame:
     """The events of the scored type with generalization offsets."""
-    ann = annotations(sig)
     return generalization_offset(ann.where(F.lower("description").contains("fbtcs"))).select(
         "grp", "record", "ann_pos", "onset", "gen_offset"
     )
 
 
-def labeled(spark: SparkSession, sf: str) -> DataFrame:
+def labeled(spark: SparkSession, sf: str, ann: DataFrame | None = None) -> DataFrame:
+    """`ann` is the annotation table where the caller has it already."""
     sig = signal(spark, sf)
-    return interval_label(sig, annotations(sig))
+    return interval_label(sig, annotations(sig) if ann is None else ann)
 
 
-def features(spark: SparkSession, sf: str, windows: list[int] | None = None) -> DataFrame:
-    return window_features(labeled(spark, sf), windows, pos="pos")
+def features(
+    spark: SparkSession, sf: str, windows: list[int] | None = None, ann: DataFrame | None = None
+) -> DataFrame:
+    return window_features(labeled(spark, sf, ann), windows, pos="pos")
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
+def scored(spark: SparkSession, sf: str, ann: DataFrame | None = None) -> DataFrame:
     """A stand-in for model scores: 15/5 windows with a score, their position and a fold."""
-    feats = features(spark, sf)
+    feats = features(spark, sf, ann=ann)
     group = F.substring("grp", 2, 9).cast("int")
     score = F.round(F.least(F.lit(1.0), F.coalesce(F.col("HR_mean"), F.lit(0.0)) / 100), 6)
     return feats.select(
@@ -101,8 +103,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def decided(spark: SparkSession, sf: str) -> DataFrame:
-    return firing_power(scored(spark, sf), WIDTH, LEVEL)
+def decided(spark: SparkSession, sf: str, ann: DataFrame | None = None) -> DataFrame:
+    return firing_power(scored(spark, sf, ann), WIDTH, LEVEL)
 
 
 def raw_text(spark: SparkSession, sf: str) -> DataFrame:
