@@ -32,7 +32,7 @@ def rows_of(names, rows):
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-SQL_TYPE = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+SQL_TYPE = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, name, fn, sql, sf):
