@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import cut_lineage
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pulsegrid.llm.arrow import append_columns, lists_of
 from pulsegrid.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceTrie, Table, Vocabulary, code_points, ragged, unknown_score
 
-MEMO_CHARS = 6 << 20  # characters of distinct parts that a task remembers
+MEMO_CHARS = 4 << 20  # characters of distinct parts that a task remembers
 
 
 def merge_up(text: str, rank: dict[str, int]) -> list[tuple]:

@@ -18,7 +18,7 @@ from pulsegrid.llm.arrow import append_columns
 from pulsegrid.llm.pieces import NORMAL, SPACE, PieceTrie, Vocabulary, code_points, unknown_score, utf8_length
 
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-MEMO_CHARS = 12 << 20  # characters of distinct pre-tokens whose counts a task remembers
+MEMO_CHARS = 4 << 20  # characters of distinct pre-tokens whose counts a task remembers
 
 
 @dataclass
