@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 16_384
+# Rows without a time are a block of their own, before all others; no time lies there.
+NO_TIME = -(1 << 62)
 
 
 def block_of(c: Column | str, size: int = BLOCK) -> Column:
@@ -25,6 +27,11 @@ def block_of(c: Column | str, size: int = BLOCK) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def time_block(c: Column | str, size: int = BLOCK) -> Column:
+    """The block of a time that may be null: rows without one come first in their record."""
+    return F.coalesce(block_of(c, size), F.lit(NO_TIME))
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks to use where a small table unfolds into many rows: AQE would merge by bytes and leave
     the unfolding to a few tasks, so the number is given explicitly."""
@@ -60,7 +67,7 @@ def join_spread(
     The table is joined onto the distinct (record, block) cells, one row per block, and the cells
     onto the rows; `along` is the column blocks are cut along.
     """
-    blocked = df.withColumn("_cell", F.coalesce(block_of(along, size), F.lit(-1)))
+    blocked = df.withColumn("_cell", time_block(along, size))
     cells = blocked.select(*keys, "_cell").distinct().join(table, on, how)
     return blocked.join(cells, [*keys, "_cell"], how).drop("_cell")
 
@@ -70,7 +77,7 @@ def with_position(
 ) -> DataFrame:
     """0-based position of a row in its record: offset of the block + rank inside the block.
 
-    `order` must be unique per record, and `block` monotone in it.
+    `order` must be unique per record, and `block` monotone in it and not null (`time_block`).
     """
     placed = attach_record_stats(
         df, keys, block,

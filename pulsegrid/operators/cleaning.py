@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import (
     any_present, clean_float, epoch_to_seconds, nan_to_null, ticks_to_seconds, token_to_null,
 )
-from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of
+from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of, time_block
 from pulsegrid.schema import CHANNELS, HEADER_PATTERNS, KEYS, LABEL, TIME
 
 
@@ -74,7 +74,7 @@ def time_unit_repair(df: DataFrame, keys: list[str] = KEYS, size: int = BLOCK) -
     if "time" not in df.columns:
         raise ValueError("no time column: expected sec, time_elapsed or time")
     scaled = df.withColumn("time", epoch_to_seconds(F.col("time").try_cast("double")))
-    blocked = scaled.withColumn("_block", F.coalesce(block_of("time", size), F.lit(-1)))
+    blocked = scaled.withColumn("_block", time_block("time", size))
     out = attach_record_stats(
         blocked, keys, "_block", {"_lo": F.min("time")},
         lambda whole, ordered: {"_t0": F.min("_lo").over(whole)},

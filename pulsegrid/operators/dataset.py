@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of, global_rank, join_spread
+from pulsegrid.operators.blocks import BLOCK, attach_record_stats, global_rank, join_spread, time_block
 from pulsegrid.operators.grid import context_names, context_windows
 from pulsegrid.schema import (
     ANCHOR, CHANNELS, DROP_PREFIXES, KEYS, LABEL, MAX_NULL_SHARE, WINDOW,
@@ -145,9 +145,10 @@ def ffill_bfill(
     """Fill nulls with the record's previous value, leading nulls with its first one.
 
     Inside a block a running frame does it; across blocks the block table carries the last value
-    seen before the block and the first value of the record. `time` is unique per record.
+    seen before the block and the first value of the record. `time` is unique per record. Rows
+    without a time have no place in it: they give no value and take the record's first one.
     """
-    blocked = df.withColumn("_block", block_of(time, size))
+    blocked = df.withColumn("_block", time_block(time, size))
     q = {c: F.col(f"`{c}`") for c in cols}
     partial = {}
     for i, c in enumerate(cols):
@@ -169,7 +170,8 @@ def ffill_bfill(
         Window.partitionBy(*keys, "_block").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = {
-        c: F.coalesce(F.last(q[c], True).over(running), F.col(f"_p{i}"), F.col(f"_r{i}"))
+        c: F.when(F.col(time).isNull(), F.coalesce(q[c], F.col(f"_r{i}")))
+        .otherwise(F.coalesce(F.last(q[c], True).over(running), F.col(f"_p{i}"), F.col(f"_r{i}")))
         for i, c in enumerate(cols)
     }
     return placed.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions import overlap_length
-from pulsegrid.operators.blocks import BLOCK, block_of, with_halo, with_position
+from pulsegrid.operators.blocks import BLOCK, block_of, time_block, with_halo, with_position
 from pulsegrid.schema import KEYS, ONSET_TOLERANCE_S, STEP, TOLERANCE_S
 
 # Length of the time cells that event joins are keyed by, in seconds.
@@ -18,8 +18,8 @@ EVENT = ["fold", *KEYS]
 def elapsed_by_position(
     df: DataFrame, step: int = STEP, time: str = "time", keys: list[str] = KEYS, size: int = BLOCK
 ) -> DataFrame:
-    """`idx` (position in the record) and `elapsed_s` = idx * step."""
-    placed = with_position(df.withColumn("_block", block_of(time, size)), keys, [time], "_block")
+    """`idx` (position in the record) and `elapsed_s` = idx * step; rows without a time come first."""
+    placed = with_position(df.withColumn("_block", time_block(time, size)), keys, [time], "_block")
     return placed.withColumn("elapsed_s", F.col("idx") * step).drop("_block")
 
 

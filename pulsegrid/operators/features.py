@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.blocks import BLOCK, block_of, with_position
+from pulsegrid.operators.blocks import BLOCK, block_of, time_block, with_position
 from pulsegrid.schema import CHANNELS, FEATURE_PREFIX, FEATURES, KEYS, LABEL, STEP, TIME, WINDOW
 
 
@@ -31,7 +31,7 @@ def window_members(
     saves the counting pass.
     """
     if pos is None:
-        placed = with_position(df.withColumn("_cell", block_of(time, size)), keys, [time], "_cell", "_pos").drop("_cell")
+        placed = with_position(df.withColumn("_cell", time_block(time, size)), keys, [time], "_cell", "_pos").drop("_cell")
     else:
         placed = df.withColumn("_pos", F.col(pos))
     # a sample belongs to windows that begin up to max(windows) - 1 positions before it
@@ -75,7 +75,8 @@ def window_features(
     """Mean, population std, range (first channel), last-minus-first of every channel, and the
     ratio of the first two deltas, over full windows of `window` samples every `step` samples.
 
-    `df` holds one row per (record, time). Times are the last sample's, labels the maximum.
+    `df` holds one row per (record, time). Times are the last sample's, labels the maximum. A row
+    without a time counts as a sample before all others of its record.
     Nulls are skipped by the statistics; a delta is null when either end is.
     """
     windows = windows or [WINDOW]

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.blocks import join_spread, with_position
+from pulsegrid.operators.blocks import global_rank, join_spread
 from pulsegrid.schema import KEYS, LABEL
 
-# Up to this many groups the exact greedy rule runs over the (checked) group table; beyond it the
-# groups are dealt out in Spark.
-MAX_GREEDY_GROUPS = 100_000
-
 
 def group_class_counts(df: DataFrame, group: str = "grp", label: str = LABEL) -> DataFrame:
     return df.groupBy(group).agg(
@@ -20,61 +15,28 @@ def group_class_counts(df: DataFrame, group: str = "grp", label: str = LABEL) ->
     )
 
 
-def greedy_folds(groups: list[tuple[str, int, int]], k: int) -> dict[str, int]:
-    """Group -> fold from (group, rows, positives).
+def dealt_folds(counts: DataFrame, k: int, group: str = "grp", name: str = "fold") -> DataFrame:
+    """Group -> fold from (group, n, n_pos), by one rule at every size.
 
-    Groups with the most uneven class counts are placed first, each into the fold that keeps the
-    class shares of all folds most even; on a tie, into the fold with the fewest rows.
+    Groups in order of positives, then rows (both falling), then name are dealt back and forth:
+    0 1 .. k-1, k-1 .. 1 0, and so on. Ranks come from range partitioning, so no task and no driver sees all
+    groups.
     """
-    ordered = sorted(groups)
-    counts = np.array([[n - p, p] for _, n, p in ordered], dtype=float).reshape(-1, 2)
-    totals = counts.sum(axis=0)
-    shares = np.divide(counts, totals, out=np.zeros_like(counts), where=totals > 0)
-    held, rows = np.zeros((k, 2)), np.zeros(k)
-    eye = np.eye(k)[:, :, None]
-    placed = {}
-    for g in np.argsort(-counts.std(axis=1), kind="stable"):
-        # one trial per fold: trial i holds the group's shares in fold i
-        spread = (held[None, :, :] + eye * shares[g]).std(axis=1).mean(axis=1)
-        tied = np.flatnonzero(np.isclose(spread, spread.min()))
-        best = tied[np.argmin(rows[tied])]
-        held[best] += shares[g]
-        rows[best] += counts[g].sum()
-        placed[ordered[g][0]] = int(best)
-    return placed
-
-
-def dealt_folds(counts: DataFrame, k: int, group: str = "grp") -> DataFrame:
-    """Group -> fold for any number of groups: ordered by positives, dealt back and forth.
-
-    Groups with equally many positives come in hash order, so that the many groups without any do
-    not form one block.
-    """
-    level = F.floor(F.log1p(F.col("n_pos")) * 256)
-    placed = with_position(
-        counts.withColumn("_all", F.lit(0)).withColumn(
-            "_block", -level * 4096 + F.pmod(F.xxhash64(group), F.lit(4096))
-        ),
-        ["_all"], ["n_pos", "n", group], "_block", "_rank",
-    )
+    order = F.struct((-F.col("n_pos")).alias("p"), (-F.col("n")).alias("n"), F.col(group).alias("g"))
+    ranks = global_rank(counts.select(order.alias("_order")), "_order", "_rank")
     turn = F.pmod("_rank", F.lit(2 * k))
-    return placed.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return ranks.select(
+        F.col("_order.g").alias(group), F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias(name)
+    )
 
 
 def assign_folds(
     df: DataFrame, k: int, name: str = "fold", group: str = "grp", label: str = LABEL,
-    along: str = "idx", keys: list[str] = KEYS, max_greedy: int = MAX_GREEDY_GROUPS,
+    along: str = "idx", keys: list[str] = KEYS, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the fold number 0..k-1; no group is in two folds and every row is in one.
 
-    Only per-group counts leave the cluster, and only after their number has been checked.
+    `counts` are the class counts of the groups where they are known already.
     """
-    counts = group_class_counts(df, group, label)
-    head = counts.limit(max_greedy + 1).collect()
-    if len(head) <= max_greedy:
-        folds = greedy_folds([(r[group], r["n"], r["n_pos"]) for r in head], k)
-        kind = counts.schema[group].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(list(folds.items()), f"`{group}` {kind}, `{name}` int")
-        return df.join(F.broadcast(table), group)  # at most max_greedy rows
-    table = dealt_folds(counts, k, group).withColumnRenamed("fold", name)
+    table = dealt_folds(group_class_counts(df, group, label) if counts is None else counts, k, group, name)
     return join_spread(df, table, [group], along, keys)

@@ -9,7 +9,7 @@ from itertools import product
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,33 +58,40 @@ def build_models(maxIter: int | None = None, maxDepth: int | None = None) -> dic
     }
 
 
-def train_facts(train: DataFrame, cols: list[str], balanced: bool) -> tuple[list[str], float, float]:
-    """(columns with any value, weight of class 1, weight of class 0) in one pass; a column
-    without values cannot be imputed."""
-    counts = [F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]
+def train_facts(
+    train: DataFrame, cols: list[str], balanced: bool
+) -> tuple[dict[str, tuple[float, float]], float, float]:
+    """(mean and population std of the columns with any value, weight of class 1, weight of class 0)
+    in one pass; a column without values cannot be imputed."""
+    aggs = [f(f"`{c}`").alias(f"{a}{i}") for i, c in enumerate(cols) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]
     row = train.agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("p"), *counts
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("p"), *aggs
     ).first()
-    usable = [c for i, c in enumerate(cols) if row[f"c{i}"]]
+    stats = {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(cols) if row[f"m{i}"] is not None}
     n, p = row["n"], row["p"] or 0
     if balanced:
-        return usable, n / (2 * p) if p else 1.0, n / (2 * (n - p)) if n > p else 1.0
-    return usable, (n - p) / p * WEIGHT_BOOST if p else float(WEIGHT_BOOST), 1.0
+        return stats, n / (2 * p) if p else 1.0, n / (2 * (n - p)) if n > p else 1.0
+    return stats, (n - p) / p * WEIGHT_BOOST if p else float(WEIGHT_BOOST), 1.0
+
+
+def standardiser(stats: dict[str, tuple[float, float]]) -> SQLTransformer:
+    """`z_<column>`: missing values replaced by the mean, then (x - mean) / population std."""
+    parts = [f"(coalesce(`{c}`, {m!r}D) - {m!r}D) / {s!r}D as `z_{c}`" for c, (m, s) in stats.items()]
+    return SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__")
 
 
 def fit_pipeline(train: DataFrame, cols: list[str], spec: ModelSpec, params: dict | None = None) -> PipelineModel:
-    """Mean imputation, standardisation and the classifier, learnt from `train` alone."""
-    cols, pos, neg = train_facts(train, cols, spec.balanced)
+    """Mean imputation, standardisation and the classifier, learnt from `train` alone; one pass over
+    it gives all that the first two need."""
+    stats, pos, neg = train_facts(train, cols, spec.balanced)
     weighted = train.withColumns({
         WEIGHT: F.when(F.col(LABEL) == 1, F.lit(float(pos))).otherwise(F.lit(float(neg))),
         LABEL: F.col(LABEL).cast("double"),
     })
-    filled = [f"_f{i}" for i in range(len(cols))]
     classifier = spec.make(**(params or {})).setFeaturesCol("features").setLabelCol(LABEL).setWeightCol(WEIGHT)
     stages = [
-        Imputer(inputCols=cols, outputCols=filled, strategy="mean"),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        standardiser(stats),
+        VectorAssembler(inputCols=[f"z_{c}" for c in stats], outputCol="features"),
         classifier,
     ]
     return Pipeline(stages=stages).fit(weighted)
@@ -100,9 +107,13 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*[F.col(c).cast("int").alias(c) if c == LABEL else F.col(c) for c in keep], p.alias("score"))
 
 
+def feature_names(model: PipelineModel) -> list[str]:
+    return [c.removeprefix("z_") for c in model.stages[1].getInputCols()]
+
+
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     """(feature, raw importance): split gains of trees, absolute coefficients of linear models."""
-    names = model.stages[0].getInputCols()
+    names = feature_names(model)
     last = model.stages[-1]
     vector = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return [(n, abs(float(v))) for n, v in zip(names, vector.toArray())]
@@ -145,11 +156,15 @@ def nested_cv(
     if "fold" not in df.columns:
         df = assign_folds(df, outer)
     df = cut_lineage(df)
+    # one row per fold and group: every inner assignment is derived from it
+    counts = cut_lineage(df.groupBy("fold", "grp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("n_pos")
+    ))
     spark = df.sparkSession
     decided, inner_rows, chosen, gains, failures = [], [], [], [], {}
     for name, spec in models.items():
         try:
-            outcome = [_outer_fold(df, cols, spec, f, inner, keep) for f in range(outer)]
+            outcome = [_outer_fold(df, cols, spec, f, inner, keep, counts) for f in range(outer)]
         except Exception as error:  # one model must not take the others down
             failures[name] = str(error)
             continue
@@ -170,8 +185,8 @@ def nested_cv(
     )
 
 
-def _outer_fold(df: DataFrame, cols: list[str], spec: ModelSpec, fold: int, inner: int, keep: list[str]):
-    train = assign_folds(df.where(F.col("fold") != fold), inner, "inner")
+def _outer_fold(df: DataFrame, cols: list[str], spec: ModelSpec, fold: int, inner: int, keep: list[str], counts: DataFrame):
+    train = assign_folds(df.where(F.col("fold") != fold), inner, "inner", counts=counts.where(F.col("fold") != fold).drop("fold"))
     test = df.where(F.col("fold") == fold)
     scored = []
     for number, params in enumerate(spec.choices()):
@@ -202,4 +217,4 @@ def fit_final(df: DataFrame, cols: list[str], spec: ModelSpec, params: dict | No
     """Fit on all rows; returns the model and the feature names it uses."""
     df, cols = _safe_names(df, cols)
     model = fit_pipeline(cut_lineage(ffill_bfill(df, cols)), cols, spec, params)
-    return model, model.stages[0].getInputCols()
+    return model, feature_names(model)

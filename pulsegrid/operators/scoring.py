@@ -340,10 +340,14 @@ def param_top(results: DataFrame, params: list[str], top: int = 5) -> DataFrame:
 
 
 def importance_rank(importances: DataFrame, top: int | None = None) -> DataFrame:
-    """Importances normalised per fold, summed over folds and normalised again, best first."""
+    """Importances normalised per fold, summed over folds and normalised again, best first; `top` is
+    per model."""
     total = F.sum("importance").over(Window.partitionBy("model", "fold"))
     per_fold = importances.withColumn("v", F.coalesce(F.try_divide(F.col("importance"), total), F.lit(0.0)))
     summed = per_fold.groupBy("model", "feature").agg(F.sum("v").alias("v"))
     share = F.coalesce(F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("model"))), F.lit(0.0))
-    out = summed.withColumn("importance", share).drop("v").orderBy("model", F.desc("importance"), "feature")
-    return out.limit(top) if top else out
+    out = summed.withColumn("importance", share).drop("v")
+    if top:
+        best = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
+        out = out.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top).drop("_rank")
+    return out.orderBy("model", F.desc("importance"), "feature")

@@ -1,8 +1,11 @@
-"""Registered queries that fit models (small settings; no SQL counterpart)."""
+"""Registered queries that fit models, with few rounds; scores have no SQL counterpart."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import folds, models, scoring
@@ -30,27 +33,31 @@ def _features(spark, sf):
 
 
 def _held_out(spark, sf, spec):
-    """Scores of fold 0 by a model fitted on the other folds."""
+    """Scores of every fold by a model fitted on the other folds."""
     df = _features(spark, sf)
-    model = models.fit_pipeline(df.where("fold <> 0"), FEATURES, spec)
-    return models.score(model, df.where("fold = 0"), KEEP)
+    parts = []
+    for fold in views.FOLDS:
+        model = models.fit_pipeline(df.where(F.col("fold") != fold), FEATURES, spec)
+        parts.append(models.score(model, df.where(F.col("fold") == fold), KEEP))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def group_kfold(spark, sf):
     rows = folds.assign_folds(views.scored(spark, sf).drop("fold"), 7)
-    return rows.groupBy("fold").agg(
+    return rows.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(
         F.countDistinct("grp").alias("n_groups"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos")
     )
 
 
 @query
 def ml_pipeline(spark, sf):
-    """Imputed and standardised feature vectors next to the prediction, fitted on all rows."""
+    """The imputed and standardised features that a model fitted on all rows gets."""
     df = _features(spark, sf)
     model = models.fit_pipeline(df, FEATURES, models.ModelSpec("logistic", lambda **p: LogisticRegression(maxIter=10, **p), balanced=True))
-    out = model.transform(df)
-    return out.select(*KEYS, "time", models.vector_to_array("features").alias("features"), "prediction")
+    vector = models.vector_to_array("features")
+    names = models.feature_names(model)
+    return model.transform(df).select(*KEYS, "time", *[(F.round(vector[i], 6) + F.lit(0.0)).alias(n) for i, n in enumerate(names)])
 
 
 @query

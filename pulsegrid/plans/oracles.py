@@ -302,6 +302,11 @@ _fill = lambda c: (
     f"unbounded preceding and current row), first_value({c} ignore nulls) over (partition by grp, record order by "
     f"time_elapsed rows between current row and unbounded following)) as {c}"
 )
+CTES["untimed"] = """select grp, record, event_id, case when time_elapsed <> 3 then time_elapsed end as time_elapsed,
+  heart_rate, breathing_rate, cadence from sig"""
+CTES["firstval"] = f"""select grp, record, {', '.join(f"min_by({c}, time_elapsed) filter ({c} is not null) as {c}" for c in CH4 if c != 'activity')}
+  from untimed where time_elapsed is not null group by grp, record"""
+CTES["filled15"] = f"select grp, record, time, {', '.join(_fill(c).replace('time_elapsed', 'time') for c in FEATURES)} from feat15"
 _last3 = lambda c, t: (
     f"last_value({c} ignore nulls) over (partition by grp, record order by {t} range between 3 preceding and "
     f"current row) as {c}"
@@ -394,6 +399,20 @@ SQL: dict[str, str] = {
         _null_block("raw", 60, "raw"), _null_block("features", 14, "features"), _null_block("all", 74, "raw + features"),
     ]),
     "ffill_bfill": f"select grp, record, time_elapsed, {', '.join(_fill(c) for c in CH4 if c != 'activity')} from sig",
+    "ffill_null_time": f"""select grp, record, event_id, time_elapsed, {', '.join(_fill(c) for c in CH4 if c != 'activity')}
+        from untimed where time_elapsed is not null union all by name select t.grp, t.record, t.event_id, t.time_elapsed,
+        {', '.join(f"coalesce(t.{c}, l.{c}) as {c}" for c in CH4 if c != 'activity')}
+        from untimed t left join firstval l on l.grp = t.grp and l.record = t.record where t.time_elapsed is null""",
+    "position_null_time": """select *, idx * 5 as elapsed_s from (select grp, record, event_id, time_elapsed,
+        row_number() over (partition by grp, record order by time_elapsed nulls first) - 1 as idx from untimed)""",
+    "ml_pipeline": "select grp, record, time, " + ", ".join(
+        f"round((coalesce({c}, avg({c}) over ()) - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}" for c in FEATURES
+    ) + " from filled15",
+    "group_kfold": """select fold, count(*) as n_groups, sum(n)::bigint as n, sum(n_pos)::bigint as n_pos from (
+        select *, case when turn < 7 then turn else 13 - turn end as fold from (select *, (row_number() over (
+          order by n_pos desc, n desc, grp) - 1) % 14 as turn from (
+            select grp, count(*) as n, count(*) filter (where label = 1) as n_pos from scored group by grp)))
+        group by fold""",
     "mean_impute": "select record, time, " + ", ".join(
         f"round(coalesce({c}, avg({c}) over ()), 6) as {c}" for c in ("HR_mean", "DeltaHR", "BR_std", "Cad_mean")
     ) + " from feat15",

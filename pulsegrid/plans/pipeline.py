@@ -27,7 +27,7 @@ from pulsegrid.session import cut_lineage
 from pulsegrid.sources.annotations import read_annotations
 from pulsegrid.sources.recordings import read_recordings
 from pulsegrid.sources.sinks import save_model, write_reports, write_summary
-from pulsegrid.sources.tables import cached_stage, pending, read_stage, write_stage
+from pulsegrid.sources.tables import cached_stage, pending, read_stage, stage_version, write_stage
 
 
 @dataclass
@@ -51,7 +51,7 @@ def preprocess(spark: SparkSession, at: Folders, force: bool = False) -> DataFra
 def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict: bool, rule: str) -> DataFrame:
     """Annotations with the recording they belong to."""
     notes = read_annotations(spark, at.annotations, strict=strict)
-    joined = record_annotations(signal.select(*KEYS).distinct(), notes, rule=rule).where(F.col("onset").isNotNull())
+    joined = record_annotations(signal.select(*KEYS).distinct(), notes, rule=rule).where(F.col("ann_key").isNotNull())
     return event_type_filter(joined, EVENT_TYPE)
 
 
@@ -64,9 +64,13 @@ def label(spark: SparkSession, at: Folders, signal: DataFrame, force: bool = Fal
 
 def build_dataset(
     spark: SparkSession, at: Folders, labeled: DataFrame, window: int = WINDOW, include_raw: bool = True,
-    alignment: str = "trailing", version: str = "1",
+    alignment: str = "trailing", version: str | None = None, force: bool = False,
 ) -> DataFrame:
-    """Features, raw context, label and keys, cached per setting and input version."""
+    """Features, raw context, label and keys, cached per setting and input version.
+
+    The version is worked out from the files of `labeled` unless one is given.
+    """
+    version = version or stage_version(labeled)
     def build() -> DataFrame:
         rows = schema_fill(labeled)
         feats = window_features(rows, [window])
@@ -78,7 +82,7 @@ def build_dataset(
         return assemble(feats, per_second, window, alignment)
 
     return cached_stage(
-        spark, at.of("dataset"), build, window=window, include_raw=include_raw, alignment=alignment, version=version
+        spark, at.of("dataset"), build, window=window, include_raw=include_raw, alignment=alignment, version=version, force=force
     )
 
 
@@ -132,13 +136,13 @@ def evaluate(
 
 def run_pipeline(
     spark: SparkSession, at: Folders, windows: list[int] | None = None, outer: int = 7, inner: int = 6,
-    models: dict[str, M.ModelSpec] | None = None, force: bool = False, rule: str = "parity", version: str = "1",
+    models: dict[str, M.ModelSpec] | None = None, force: bool = False, rule: str = "parity", version: str | None = None,
 ) -> dict[int, DataFrame]:
     signal = preprocess(spark, at, force)
     labeled = label(spark, at, signal, force, rule)
     models = models or {"gbt": M.build_models()["gbt"]}
     return {
-        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version), signal, models, outer, inner, rule)
+        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version, force=force), signal, models, outer, inner, rule)
         for w in windows or [WINDOW]
     }
 

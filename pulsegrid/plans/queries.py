@@ -333,6 +333,22 @@ def ffill_bfill(spark, sf):
     return exact(dataset.ffill_bfill(sig, ["heart_rate", "breathing_rate", "cadence"], TIME))
 
 
+def _some_without_time(spark, sf):
+    """The signal with the time of each record's fourth sample missing."""
+    sig = views.signal(spark, sf).select(*KEYS, "event_id", TIME, "heart_rate", "breathing_rate", "cadence")
+    return sig.withColumn(TIME, F.when(F.col(TIME) != 3, F.col(TIME)))
+
+
+@query
+def ffill_null_time(spark, sf):
+    return exact(dataset.ffill_bfill(_some_without_time(spark, sf), ["heart_rate", "breathing_rate", "cadence"], TIME))
+
+
+@query
+def position_null_time(spark, sf):
+    return events.elapsed_by_position(_some_without_time(spark, sf), time=TIME).select(*KEYS, "event_id", TIME, "idx", "elapsed_s")
+
+
 SCALED = ["HR_mean", "DeltaHR", "BR_std", "Cad_mean"]
 
 

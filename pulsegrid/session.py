@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Shuffles start with partitions of about this size; AQE merges those that turn out small.
 PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 100_000
 
 
 def initial_partitions(input_bytes: int) -> int:
-    return min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    return max(200, -(-input_bytes // PARTITION_BYTES))
 
 
 def build_session(
@@ -34,6 +33,7 @@ def build_session(
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if input_bytes:
         defaults["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions(input_bytes))

@@ -12,8 +12,6 @@ from pulsegrid.operators.cleaning import any_core_filter, canonical_names, canon
 from pulsegrid.operators.dataset import diag_union
 from pulsegrid.schema import CHANNELS, KEYS, TIME
 
-# Layouts are device firmware variants; more than this means the folder is not what it should be.
-MAX_LAYOUTS = 1000
 _ROW_BITS = 33
 
 
@@ -59,8 +57,6 @@ def layouts(headers: DataFrame) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     for row in headers.where((F.col("rows") > 0) & (F.trim("header") != "")).toLocalIterator():
         found.setdefault(row["header"], []).append(row["path"])
-        if len(found) > MAX_LAYOUTS:
-            raise ValueError(f"more than {MAX_LAYOUTS} different headers")
     return found
 
 

@@ -49,16 +49,31 @@ def pending(records: DataFrame, spark: SparkSession, path: str, force: bool = Fa
     return records if done is None else incremental_todo(records, done.select(*KEYS).distinct())
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether the last write to `path` was committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def stage_version(stage: DataFrame) -> str:
+    """A name for the files a stage is read from: their number, paths, sizes and times."""
+    about = stage.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = about.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("*").cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}:{row['h']}"
+
+
 def versioned(path: str, **settings) -> str:
     """A cache path of its own for every combination of settings."""
     text = repr(sorted(settings.items()))
     return f"{path.rstrip('/')}/v={hashlib.sha1(text.encode()).hexdigest()[:12]}"
 
 
-def cached_stage(spark: SparkSession, path: str, build, order: str | None = "time", **settings) -> DataFrame:
-    """The stage for `settings`: read back if present, otherwise built, written and read back."""
+def cached_stage(
+    spark: SparkSession, path: str, build, order: str | None = "time", force: bool = False, **settings
+) -> DataFrame:
+    """The stage for `settings`: read back if present and finished, otherwise built, written and read back."""
     place = versioned(path, **settings)
-    found = read_stage(spark, place)
+    found = read_stage(spark, place) if not force and finished(spark, place) else None
     if found is None:
         write_stage(build(), place, order)
         found = read_stage(spark, place)
