@@ -62,13 +62,17 @@ def train_facts(
     train: DataFrame, cols: list[str], balanced: bool
 ) -> tuple[dict[str, tuple[float, float]], float, float]:
     """(mean and population std of the columns with any value, weight of class 1, weight of class 0)
-    in one pass; a column without values cannot be imputed."""
-    aggs = [f(f"`{c}`").alias(f"{a}{i}") for i, c in enumerate(cols) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]
+    in one pass; a column without values cannot be imputed. The std is that of the imputed column:
+    missing values stand at the mean."""
+    facts = ((F.avg, "m"), (F.stddev_pop, "s"), (F.count, "c"))
+    aggs = [f(f"`{c}`").alias(f"{a}{i}") for i, c in enumerate(cols) for f, a in facts]
     row = train.agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("p"), *aggs
     ).first()
-    stats = {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(cols) if row[f"m{i}"] is not None}
     n, p = row["n"], row["p"] or 0
+    stats = {
+        c: (row[f"m{i}"], row[f"s{i}"] * (row[f"c{i}"] / n) ** 0.5 or 1.0) for i, c in enumerate(cols) if row[f"c{i}"]
+    }
     if balanced:
         return stats, n / (2 * p) if p else 1.0, n / (2 * (n - p)) if n > p else 1.0
     return stats, (n - p) / p * WEIGHT_BOOST if p else float(WEIGHT_BOOST), 1.0

@@ -406,8 +406,8 @@ SQL: dict[str, str] = {
     "position_null_time": """select *, idx * 5 as elapsed_s from (select grp, record, event_id, time_elapsed,
         row_number() over (partition by grp, record order by time_elapsed nulls first) - 1 as idx from untimed)""",
     "ml_pipeline": "select grp, record, time, " + ", ".join(
-        f"round((coalesce({c}, avg({c}) over ()) - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}" for c in FEATURES
-    ) + " from filled15",
+        f"round((coalesce({c}, avg({c}) over ()) - avg({c}) over ()) / stddev_pop(coalesce({c}, m_{c})) over (), 6) as {c}" for c in FEATURES
+    ) + " from (select *, " + ", ".join(f"avg({c}) over () as m_{c}" for c in FEATURES) + " from filled15)",
     "group_kfold": """select fold, count(*) as n_groups, sum(n)::bigint as n, sum(n_pos)::bigint as n_pos from (
         select *, case when turn < 7 then turn else 13 - turn end as fold from (select *, (row_number() over (
           order by n_pos desc, n desc, grp) - 1) % 14 as turn from (

@@ -28,18 +28,19 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_stage(df: DataFrame, path: str, order: str | None = TIME, by: list[str] = KEYS) -> None:
+def write_stage(df: DataFrame, path: str, order: str | None = TIME, by: list[str] = KEYS, whole: bool = False) -> None:
     """Zstd Parquet, one folder per recording, rows in time order inside a file.
 
     Rows are spread by (recording, time cell), so a long recording is written by many tasks
-    instead of one. Only the recordings in `df` are replaced.
+    instead of one. Only the recordings in `df` are replaced, unless the stage is written `whole`;
+    that leaves a mark when it is finished.
     """
     if order:
         cell = F.floor(F.col(order) / 86_400)
         df = df.repartition(*by, cell).sortWithinPartitions(*by, order)
     (
         df.write.mode("overwrite").partitionBy(*by)
-        .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
+        .option("partitionOverwriteMode", "static" if whole else "dynamic").option("compression", "zstd").parquet(path)
     )
 
 
@@ -50,7 +51,7 @@ def pending(records: DataFrame, spark: SparkSession, path: str, force: bool = Fa
 
 
 def finished(spark: SparkSession, path: str) -> bool:
-    """Whether the last write to `path` was committed."""
+    """Whether the last whole write to `path` was committed."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
@@ -75,6 +76,6 @@ def cached_stage(
     place = versioned(path, **settings)
     found = read_stage(spark, place) if not force and finished(spark, place) else None
     if found is None:
-        write_stage(build(), place, order)
+        write_stage(build(), place, order, whole=True)
         found = read_stage(spark, place)
     return found

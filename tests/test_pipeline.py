@@ -93,6 +93,13 @@ def test_stages(spark, tmp_path):
     for window in (15, 15, 30):
         tables.cached_stage(spark, str(tmp_path / "cache"), lambda: calls.append(1) or df, "time_elapsed", window=window)
     assert len(calls) == 2
+    place = tables.versioned(str(tmp_path / "cache"), window=15)
+    Path(f"{place}/_SUCCESS").unlink()  # a write that was broken off
+    tables.cached_stage(spark, str(tmp_path / "cache"), lambda: calls.append(1) or df, "time_elapsed", window=15)
+    assert len(calls) == 3
+    first = tables.stage_version(tables.read_stage(spark, place))
+    tables.write_stage(df.where("time_elapsed < 5"), place, whole=True)
+    assert tables.stage_version(tables.read_stage(spark, place)) != first
 
 
 def test_whole_pipeline(spark, folders):
