@@ -7,12 +7,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pulsegrid.session import build_session
 
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
