@@ -273,7 +273,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     common = np.zeros((len(sets), len(sets)))
-    wide = max(1024, (1 << 23) // len(sets))
+    wide = min(max(1024, (1 << 23) // len(sets)), int(column.max()) + 1)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for low in range(0, int(column[-1]) + 1, wide):
