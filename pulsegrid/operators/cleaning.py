@@ -101,13 +101,17 @@ def column_difference(df: DataFrame, expected: list[str]) -> tuple[list[str], li
     return sorted(set(expected) - have), sorted(have - set(expected))
 
 
-def dedup_last(df: DataFrame, by: list[str], order: str) -> DataFrame:
+def dedup_last(df: DataFrame, by: list[str], order: str, ties: bool = False) -> DataFrame:
     """One row per `by`: the one with the highest `order`.
 
     max_by over primitive buffers aggregates on the map side, so a key with many copies is
-    reduced before the shuffle.
+    reduced before the shuffle. Where rows of a key can share an `order`, `ties` lets the larger
+    values win, column by column; without it any of them may stay.
     """
     rest = [c for c in df.columns if c not in by]
+    if ties:
+        best = F.max(F.struct(order, *[c for c in rest if c != order])).alias("_best")
+        return df.groupBy(*by).agg(best).select(*by, "_best.*").select(df.columns)
     return df.groupBy(*by).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(df.columns)
 
 

@@ -25,9 +25,9 @@ from pulsegrid.operators.scoring import (
 from pulsegrid.schema import EVENT_TYPE, FINAL_THRESHOLD, FINAL_WIDTH, KEYS, LABEL, TIME, WINDOW
 from pulsegrid.session import cut_lineage
 from pulsegrid.sources.annotations import read_annotations
-from pulsegrid.sources.recordings import read_recordings
+from pulsegrid.sources.recordings import raw_files, read_pending
 from pulsegrid.sources.sinks import save_model, write_reports, write_summary
-from pulsegrid.sources.tables import cached_stage, pending, read_stage, stage_version, write_stage
+from pulsegrid.sources.tables import cached_stage, pending, read_stage, stage_version, write_stage, written_at
 
 
 @dataclass
@@ -41,11 +41,19 @@ class Folders:
 
 
 def preprocess(spark: SparkSession, at: Folders, force: bool = False) -> DataFrame:
-    """CSV -> canonical signal, one row per (recording, time)."""
-    signal = read_recordings(spark, at.raw)
-    todo = pending(signal.select(*KEYS).distinct(), spark, at.of("signal"), force)
-    write_stage(dedup_last(raw_semi(signal, todo, TIME), [*KEYS, TIME], "file_pos"), at.of("signal"))
-    return read_stage(spark, at.of("signal"))
+    """CSV -> canonical signal, one row per (recording, time).
+
+    Recordings whose stage is newer than all their files are left out before any file is opened.
+    """
+    files = raw_files(spark, at.raw)
+    todo = pending(files.groupBy(*KEYS).agg(F.max("mtime").alias("mtime")), spark, at.of("signal"), force)
+    signal = read_pending(spark, files.join(todo, KEYS, "left_semi"))
+    if signal is not None:
+        write_stage(dedup_last(signal, [*KEYS, TIME], "file_pos", ties=True), at.of("signal"))
+    found = read_stage(spark, at.of("signal"))
+    if found is None:
+        raise ValueError(f"no recording with a known channel under {at.raw}")
+    return found
 
 
 def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict: bool, rule: str) -> DataFrame:
@@ -57,7 +65,7 @@ def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict:
 
 def label(spark: SparkSession, at: Folders, signal: DataFrame, force: bool = False, rule: str = "parity") -> DataFrame:
     ann = annotation_clean(annotations_of(spark, at, signal, True, rule), strict=True)
-    todo = pending(signal.select(*KEYS).distinct(), spark, at.of("labeled"), force)
+    todo = pending(written_at(signal, F.max), spark, at.of("labeled"), force)
     write_stage(interval_label(raw_semi(signal, todo, TIME), ann), at.of("labeled"))
     return read_stage(spark, at.of("labeled"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.blocks import global_rank
 from pulsegrid.schema import ANNOTATION_SCHEMA
 from pulsegrid.sources.recordings import file_path, file_stem
 
@@ -46,7 +47,7 @@ def read_annotations(spark: SparkSession, path: str, pattern: str = "*.txt", str
     """(ann_key, ann_pos, onset, duration, description, generalization) as text, one row per line.
 
     Columns are found by name in the header, whatever their order. `ann_pos` keeps the order of
-    files and lines. strict: a file without a header fails the job instead of giving no rows.
+    files (by path) and of lines. strict: a file without a header fails the job instead of giving no rows.
     """
     files = read_files(spark, path, pattern)
     if strict:
@@ -74,9 +75,9 @@ def read_annotations(spark: SparkSession, path: str, pattern: str = "*.txt", str
         place = F.col(f"_{name}")
         return F.nullif(F.when(place > 0, F.try_element_at("_cells", place)), F.lit("")).alias(name)
 
-    file_no = F.pmod(F.xxhash64("path"), F.lit(1 << 40))
+    lines = lines.join(global_rank(files, "path", "_file"), "path")
     return lines.select(
         F.substring_index(file_stem(F.col("path")), "_", 1).alias("ann_key"),
-        (file_no * (1 << 20) + F.col("_n")).alias("ann_pos"),
+        (F.shiftleft("_file", 31) + F.col("_n")).alias("ann_pos"),
         *[cell(n) for n in (*_REQUIRED, "generalization")],
     ).to(ANNOTATION_SCHEMA)

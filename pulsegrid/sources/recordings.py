@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.cleaning import any_core_filter, canonical_names, canonicalise, elapsed_from_ticks
 from pulsegrid.operators.dataset import diag_union
 from pulsegrid.schema import CHANNELS, KEYS, TIME
+from pulsegrid.session import cut_lineage
 
-_ROW_BITS = 33
+_ROW_BITS = 30
 
 
 def file_path() -> Column:
@@ -31,14 +32,28 @@ def parent_folder(path: Column) -> Column:
 def file_order() -> Column:
     """A number that grows along each file: split offset first, then the row inside the task.
 
-    Splits start at least a kilobyte apart, which leaves room for files up to a terabyte.
+    Splits start at least a kilobyte apart and hold fewer than 2**30 rows, which leaves room for files of
+    up to eight petabytes.
     """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     start = F.floor(F.col("_metadata.file_block_start") / 1024)
     return F.shiftleft(start, _ROW_BITS) + row
 
 
-def file_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+def raw_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(grp, record, path, mtime) of every file that is not empty, from the listing alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    name = F.col("path")
+    return found.where("length > 0").select(
+        parent_folder(name).alias("grp"), file_stem(name).alias("record"), "path", F.col("modificationTime").alias("mtime")
+    )
+
+
+def _literal(files: list[str]) -> list[str]:
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # names are not patterns
+
+
+def file_headers(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """(path, header, rows): the first line of every non-empty file and its number of other lines.
 
     One pass over the lines; each task sends on one row per file.
@@ -72,21 +87,40 @@ def read_layout(spark: SparkSession, files: list[str], header: str) -> DataFrame
     """
     names = _cells(header)
     schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # names are not patterns
     raw = (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").csv(literal)
+        .option("mode", "PERMISSIVE").csv(_literal(files))
         .select("*", parent_folder(file_path()).alias("grp"), file_stem(file_path()).alias("record"), file_order().alias("file_pos"))
     )
     return canonicalise(raw, names)
 
 
-def read_recordings(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Every recording under `path`, canonical: seconds since the first tick, four channels, rows
-    with at least one value. Files without a known channel, rows or ticks drop out."""
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame | None:
+    """The recordings in `path`, a folder or a list of files; None if none has a known channel.
+
+    The text is parsed once: the narrow canonical rows are checkpointed and all that follows reads those.
+    """
     found = layouts(file_headers(spark, path, pattern))
     known = {h: f for h, f in found.items() if set(canonical_names(_cells(h)).values()) & set(CHANNELS)}
     if not known:
+        return None
+    rows = cut_lineage(diag_union([read_layout(spark, files, header) for header, files in known.items()]))
+    return any_core_filter(elapsed_from_ticks(rows)).select(*KEYS, TIME, *CHANNELS, "file_pos")
+
+
+def read_recordings(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """Every recording under `path`, canonical: seconds since the first tick, four channels, rows
+    with at least one value. Files without a known channel, rows or ticks drop out."""
+    found = read_files(spark, path, pattern)
+    if found is None:
         raise ValueError(f"no recording with a known channel under {path}")
-    union = diag_union([read_layout(spark, files, header) for header, files in known.items()])
-    return any_core_filter(elapsed_from_ticks(union)).select(*KEYS, TIME, *CHANNELS, "file_pos")
+    return found
+
+
+def read_pending(spark: SparkSession, todo: DataFrame) -> DataFrame | None:
+    """The recordings of the files in `todo` (path); no other file is opened.
+
+    Paths go through the driver, as in every file listing of the reader itself.
+    """
+    paths = [r["path"] for r in todo.select("path").toLocalIterator()]
+    return read_files(spark, _literal(paths)) if paths else None

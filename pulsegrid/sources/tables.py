@@ -44,10 +44,16 @@ def write_stage(df: DataFrame, path: str, order: str | None = TIME, by: list[str
     )
 
 
+def written_at(stage: DataFrame, which=F.min) -> DataFrame:
+    """(keys, mtime): when the first (or, by `which`, the last) file of each record was written."""
+    times = stage.select(*KEYS, F.col("_metadata.file_modification_time").alias("_at"))
+    return times.groupBy(*KEYS).agg(which("_at").alias("mtime"))
+
+
 def pending(records: DataFrame, spark: SparkSession, path: str, force: bool = False) -> DataFrame:
-    """Records not yet in the stage at `path`."""
+    """Records not yet in the stage at `path`, or with an `mtime` at or after the stage's."""
     done = None if force else read_stage(spark, path)
-    return records if done is None else incremental_todo(records, done.select(*KEYS).distinct())
+    return records if done is None else incremental_todo(records, written_at(done))
 
 
 def finished(spark: SparkSession, path: str) -> bool:

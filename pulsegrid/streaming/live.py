@@ -46,25 +46,45 @@ def live_features(
 
 
 def live_decisions(
-    scored: DataFrame, width: int = FINAL_WIDTH, threshold: float = FINAL_THRESHOLD, keys: list[str] = KEYS
+    scored: DataFrame, width: int = FINAL_WIDTH, threshold: float = FINAL_THRESHOLD, keys: list[str] = KEYS,
+    ts: str = "ts", late: str = "30 seconds", idle_s: int = 3600,
 ) -> DataFrame:
-    """Trailing firing power of a score stream (`idx`, `score`): `pred` = 1 where the sum of the
-    last `width` scores / width reaches the threshold. State is `width - 1` scores per recording."""
+    """Trailing firing power of a score stream (`idx`, `score`, event time `ts`): `pred` = 1 where the
+    sum of the last `width` scores / width reaches the threshold.
+
+    Rows wait until the watermark passes them and are then taken in order of `idx`, so a row that is
+    at most `late` behind counts where it belongs; what comes later is dropped. State is the rows that
+    wait and `width - 1` scores per recording; it is forgotten `idle_s` after a recording's last row.
+    """
     types = dict(scored.dtypes)
     out = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx bigint", "score double", "pred int"])
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("idx")
-        line = np.concatenate([np.zeros(width - 1 - len(held)), held, rows["score"].to_numpy(dtype=float)])
-        power = np.lib.stride_tricks.sliding_window_view(line, width).sum(axis=1) / width
-        state.update((line[len(line) - (width - 1):].tolist(),))
-        done = pd.DataFrame({"idx": rows["idx"].to_numpy(), "score": rows["score"].to_numpy()})
-        done["pred"] = (power >= threshold).astype("int32")
-        for name, value in reversed(list(zip(keys, key))):
-            done.insert(0, name, value)
-        yield done
+        tail, idx, score, at = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for rows in frames:
+            idx += rows["idx"].tolist()
+            score += rows["score"].astype(float).tolist()
+            at += (rows[ts].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        mark = state.getCurrentWatermarkMs()
+        waiting = sorted(zip(idx, score, at))
+        ready = [r for r in waiting if r[2] <= mark]
+        waiting = [r for r in waiting if r[2] > mark]
+        if state.hasTimedOut and not waiting and not ready:
+            state.remove()
+            return
+        line = np.array([0.0] * (width - 1 - len(tail)) + tail + [r[1] for r in ready])
+        wake = min(r[2] for r in waiting) if waiting else mark + 1000 * idle_s
+        state.update((line[len(line) - (width - 1):].tolist(), *([r[i] for r in waiting] for i in range(3))))
+        state.setTimeoutTimestamp(max(wake, mark + 1))
+        if ready:
+            power = np.lib.stride_tricks.sliding_window_view(line, width).sum(axis=1) / width
+            done = pd.DataFrame({"idx": [r[0] for r in ready], "score": [r[1] for r in ready]})
+            done["pred"] = (power >= threshold).astype("int32")
+            for name, value in reversed(list(zip(keys, key))):
+                done.insert(0, name, value)
+            yield done
 
-    return scored.groupBy(*keys).applyInPandasWithState(
-        decide, out, "held array<double>", "append", GroupStateTimeout.NoTimeout
+    return scored.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(
+        decide, out, "tail array<double>, idx array<bigint>, score array<double>, at array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )

@@ -129,6 +129,29 @@ def test_whole_pipeline(spark, folders):
     assert before == {p: p.stat().st_mtime_ns for p in Path(folders.of("signal")).rglob("*.parquet")}
 
 
+def test_only_new_or_changed_files_are_opened(spark, tmp_path, monkeypatch):
+    at = P.Folders(str(tmp_path / "raw"), str(tmp_path / "ann"), str(tmp_path / "work"))
+    opened = []
+    headers = R.file_headers
+    monkeypatch.setattr(R, "file_headers", lambda spark, path, *a: opened.append([Path(p).name for p in path]) or headers(spark, path, *a))
+    write(tmp_path / "raw/p/a.csv", "t,hr\n0,1\n256,2\n")
+    write(tmp_path / "raw/p/b.csv", "t,hr\n0,3\n")
+    assert P.preprocess(spark, at).count() == 3
+    write(tmp_path / "raw/p/c.csv", "t,hr\n0,4\n")
+    assert P.preprocess(spark, at).count() == 4
+    write(tmp_path / "raw/p/b.csv", "t,hr\n0,5\n256,6\n")  # newer than its stage
+    assert P.preprocess(spark, at).count() == 5
+    assert P.preprocess(spark, at).count() == 5
+    assert [sorted(o) for o in opened] == [["a.csv", "b.csv"], ["c.csv"], ["b.csv"]]
+
+
+def test_equal_places_in_two_files(spark):
+    rows = [("P", "r", 0.0, 7, float(i % 5), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "grp string, record string, time_elapsed double, file_pos bigint, heart_rate double, activity double")
+    for parts in (1, 7):
+        assert P.dedup_last(df.repartition(parts), ["grp", "record", "time_elapsed"], "file_pos", ties=True).first().heart_rate == 4.0
+
+
 def test_final_model_round_trip(spark, folders):
     signal = P.preprocess(spark, folders)
     dataset = P.build_dataset(spark, folders, P.label(spark, folders, signal))
