@@ -23,67 +23,78 @@ def elapsed_by_position(
     return placed.withColumn("elapsed_s", F.col("idx") * step).drop("_block")
 
 
-def event_runs(
-    df: DataFrame, flag: str, step: int = STEP, min_gap: int = 1, pos: str = "idx",
-    keys: list[str] = EVENT, size: int = BLOCK, clock: str | None = None,
+def block_runs(
+    df: DataFrame, flag: str, step: int = STEP, pos: str = "idx", keys: list[str] = EVENT, size: int = BLOCK,
+    clock: str | None = None,
 ) -> DataFrame:
-    """Runs of `flag` = 1 per record as (i0, i1, n, start_s, end_s); end is the last positive.
+    """Runs of `flag` = 1 as far as they lie in one block: (`_block`, i0, i1, n, start_s, end_s)."""
+    seconds = F.col(pos) * step if clock is None else F.rint(clock).cast("bigint")
+    ones = df.where(F.col(flag) == 1).select(
+        *keys, F.col(pos).alias("i0"), F.col(pos).alias("i1"), F.lit(1).cast("bigint").alias("n"),
+        block_of(pos, size).alias("_block"), seconds.alias("start_s"), seconds.alias("end_s"),
+    )
+    return _merged(ones, "_block", 1, keys)
 
-    Seconds are position * step, or the times in column `clock` (whole seconds) if one is named.
-    Runs separated by fewer than `min_gap` zeros count as one. Runs are found inside blocks first;
-    only those within reach of a block border (at most a few per block) are then chained per
-    record, so the record-wide step sees a tiny fraction of the samples. `min_gap` must not
-    exceed half a block.
+
+def _merged(rows: DataFrame, part: str, min_gap: int, keys: list[str]) -> DataFrame:
+    """Rows (i0, i1) of one (record, `part`) with fewer than `min_gap` zeros between them become one."""
+    w = Window.partitionBy(*keys, part).orderBy("i0")
+    fresh = F.when(F.col("i0") - F.lag("i1").over(w) - 1 < min_gap, 0).otherwise(1)
+    numbered = rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, part, "_run").agg(
+        F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"),
+        F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
+    ).drop("_run")
+
+
+def chained_runs(local: DataFrame, min_gap: int = 1, keys: list[str] = EVENT, size: int = BLOCK) -> DataFrame:
+    """Whole runs from those of `block_runs`; runs with fewer than `min_gap` zeros between them are one.
+
+    Only those within reach of a block border (at most a few per block) are chained per record, so the
+    record-wide step sees a tiny fraction of the samples. `min_gap` must not exceed half a block.
     """
     if 2 * min_gap > size:
         raise ValueError("blocks must be at least twice as long as the gap")
-
-    def numbered(rows: DataFrame, part: str, first: str, last: str) -> DataFrame:
-        w = Window.partitionBy(*keys, part).orderBy(first)
-        gap = F.col(first) - F.lag(last).over(w) - 1
-        fresh = F.when(gap < min_gap, 0).otherwise(1)
-        running = w.rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(running))
-
-    seconds = F.col(pos) * step if clock is None else F.rint(clock).cast("bigint")
-    ones = df.where(F.col(flag) == 1).select(
-        *keys, F.col(pos).alias("_i"), block_of(pos, size).alias("_block"), seconds.alias("_s")
-    )
-    local = (
-        numbered(ones, "_block", "_i", "_i")
-        .groupBy(*keys, "_block", "_run")
-        .agg(
-            F.min("_i").alias("i0"), F.max("_i").alias("i1"), F.count(F.lit(1)).alias("n"),
-            F.min("_s").alias("start_s"), F.max("_s").alias("end_s"),
-        )
-    )
+    if min_gap > 1:
+        local = _merged(local, "_block", min_gap, keys)
     at_border = (F.col("i0") - F.col("_block") * size < min_gap) | (
         (F.col("_block") + 1) * size - 1 - F.col("i1") < min_gap
     )
-    parts = local.withColumn("_part", F.when(at_border, F.lit(-1)).otherwise(F.col("_block"))).drop("_run")
-    runs = (
-        numbered(parts, "_part", "i0", "i1")
-        .groupBy(*keys, "_part", "_run")
-        .agg(
-            F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("n").alias("n"),
-            F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
-        )
-    )
-    return runs.drop("_part", "_run")
+    parts = local.withColumn("_part", F.when(at_border, F.lit(-1)).otherwise(F.col("_block"))).drop("_block")
+    return _merged(parts, "_part", min_gap, keys).drop("_part")
 
 
-def both_runs(
-    decided: DataFrame, step: int = STEP, min_gap: int = 1, label: str = "label", pred: str = "pred",
+def event_runs(
+    df: DataFrame, flag: str, step: int = STEP, min_gap: int = 1, pos: str = "idx",
     keys: list[str] = EVENT, size: int = BLOCK, clock: str | None = None,
 ) -> DataFrame:
-    """Runs of true and of predicted samples in one pass over `decided`; `kind` tells them apart."""
+    """Runs of `flag` = 1 per record as (i0, i1, n, start_s, end_s); end is the last positive.
+
+    Seconds are position * step, or the times in column `clock` (whole seconds) if one is named.
+    """
+    return chained_runs(block_runs(df, flag, step, pos, keys, size, clock), min_gap, keys, size)
+
+
+def both_block_runs(
+    decided: DataFrame, step: int = STEP, label: str = "label", pred: str = "pred", keys: list[str] = EVENT,
+    size: int = BLOCK, clock: str | None = None,
+) -> DataFrame:
+    """`block_runs` of true and of predicted samples in one pass over `decided`; `kind` tells them apart."""
     flags = F.array(
         F.struct(F.lit("true").alias("kind"), F.col(label).cast("int").alias("_flag")),
         F.struct(F.lit("pred").alias("kind"), F.col(pred).cast("int").alias("_flag")),
     )
     held = [*keys, "idx"] + ([clock] if clock else [])
     rows = decided.select(*held, F.explode(flags).alias("_k")).select(*held, "_k.kind", "_k._flag")
-    return event_runs(rows, "_flag", step, min_gap, "idx", ["kind", *keys], size, clock)
+    return block_runs(rows, "_flag", step, "idx", ["kind", *keys], size, clock)
+
+
+def both_runs(
+    decided: DataFrame, step: int = STEP, min_gap: int = 1, label: str = "label", pred: str = "pred",
+    keys: list[str] = EVENT, size: int = BLOCK, clock: str | None = None,
+) -> DataFrame:
+    """Runs of true and of predicted samples; `kind` tells them apart."""
+    return chained_runs(both_block_runs(decided, step, label, pred, keys, size, clock), min_gap, ["kind", *keys], size)
 
 
 def of_kind(runs: DataFrame, kind: str) -> DataFrame:

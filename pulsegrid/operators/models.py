@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -24,6 +26,7 @@ from pulsegrid.schema import (
 from pulsegrid.session import cut_lineage
 
 WEIGHT = "_weight"
+PARALLEL_FITS = 6  # inner folds whose jobs are submitted at once
 
 
 @dataclass(frozen=True)
@@ -192,13 +195,16 @@ def nested_cv(
 def _outer_fold(df: DataFrame, cols: list[str], spec: ModelSpec, fold: int, inner: int, keep: list[str], counts: DataFrame):
     train = assign_folds(df.where(F.col("fold") != fold), inner, "inner", counts=counts.where(F.col("fold") != fold).drop("fold"))
     test = df.where(F.col("fold") == fold)
-    scored = []
-    for number, params in enumerate(spec.choices()):
-        for i in range(inner):
-            model = fit_pipeline(train.where(F.col("inner") != i), cols, spec, params)
-            held_out = score(model, train.where(F.col("inner") == i), ["inner", *KEYS, "idx", LABEL])
-            scored.append(held_out.withColumn("choice", F.lit(number)))
-    rows = reduce(DataFrame.unionByName, scored)
+
+    def fitted(task: tuple[int, dict, int]) -> DataFrame:
+        number, params, i = task
+        model = fit_pipeline(train.where(F.col("inner") != i), cols, spec, params)
+        held_out = score(model, train.where(F.col("inner") == i), ["inner", *KEYS, "idx", LABEL])
+        return held_out.withColumn("choice", F.lit(number))
+
+    tasks = [(number, params, i) for number, params in enumerate(spec.choices()) for i in range(inner)]
+    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:  # fits are many small jobs; their order does not matter
+        rows = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), tasks))
     counts = threshold_sweep(rows, spec.widths, spec.thresholds, ["choice", "inner"], keys=["choice", *KEYS])
     results = cut_lineage(
         with_rates(counts).select(

@@ -9,12 +9,13 @@ from pyspark.sql.window import Window
 from pulsegrid.functions import clipped, ratio_or_zero
 from pulsegrid.operators.blocks import BLOCK, attach_record_stats, block_of, with_halo
 from pulsegrid.operators.events import (
-    EVENT, both_runs, event_best_match, event_overlap, first_hit, nearest_onset, of_kind, rising_edges, unmatched,
+    EVENT, both_block_runs, chained_runs, event_best_match, event_overlap, first_hit, nearest_onset, of_kind, unmatched,
 )
 from pulsegrid.operators.smoothing import confusion
 from pulsegrid.schema import (
     KEYS, LABEL, MAX_EVENT_S, MERGE_GAP_S, STEP, TOLERANCE_S, WEIGHT_BOOST,
 )
+from pulsegrid.session import cut_lineage
 
 
 def _with_latencies(
@@ -114,11 +115,9 @@ def with_rates(counts: DataFrame) -> DataFrame:
     })
 
 
-def _pieces(
-    decided: DataFrame, label: str, pred: str, step: int, merge_gap_s: int, max_len_s: int, keys: list[str], size: int
-) -> DataFrame:
+def _pieces(local: DataFrame, step: int, merge_gap_s: int, max_len_s: int, keys: list[str], size: int) -> DataFrame:
     """Half-open events of both kinds: close neighbours merged, long ones cut."""
-    runs = both_runs(decided, step, max(1, -(-merge_gap_s // step)), label, pred, keys, size)
+    runs = chained_runs(local, max(1, -(-merge_gap_s // step)), ["kind", *keys], size)
     stop = (F.col("i1") + 1) * step
     cut = F.explode(F.sequence(F.col("start_s"), stop - 1, F.lit(max_len_s).cast("bigint")))
     return runs.select("kind", *keys, stop.alias("_stop"), cut.alias("start_s")).select(
@@ -129,14 +128,17 @@ def _pieces(
 def event_metrics(
     decided: DataFrame, step: int = STEP, merge_gap_s: int = MERGE_GAP_S, max_len_s: int = MAX_EVENT_S,
     tol: int = TOLERANCE_S, label: str = LABEL, pred: str = "pred", keys: list[str] = EVENT, size: int = BLOCK,
+    local: DataFrame | None = None,
 ) -> DataFrame:
     """Event-level counts, sensitivity, precision, F1 and false alarms per 24 h, per fold.
 
     Samples last `step` seconds; events closer than `merge_gap_s` are one; events longer than
     `max_len_s` are cut; a true event counts as found when a predicted one overlaps it, extended
     by the tolerances; a predicted event that overlaps no extended true one is a false alarm.
+    `local` are the `both_block_runs` of `decided` where they are known already.
     """
-    pieces = _pieces(decided, label, pred, step, merge_gap_s, max_len_s, keys, size)
+    local = both_block_runs(decided, step, label, pred, keys, size) if local is None else local
+    pieces = _pieces(local, step, merge_gap_s, max_len_s, keys, size)
     truth, hyp = of_kind(pieces, "true"), of_kind(pieces, "pred")
     pairs = event_overlap(hyp, truth, tol, tol, keys, half_open=True)
     hit = pairs.select(*keys, F.col("t_start").alias("start_s")).distinct()
@@ -166,10 +168,11 @@ def fold_report(
 ) -> DataFrame:
     """One row per fold with every metric. `decided` holds idx, label and pred of all folds and is
     read several times: hand in a written or checkpointed table."""
-    runs = both_runs(decided, step, size=size)
+    local = cut_lineage(both_block_runs(decided, step, size=size))  # one pass finds the runs of both gaps
+    runs = chained_runs(local, 1, ["kind", *EVENT], size)
     truth, pred = of_kind(runs, "true"), of_kind(runs, "pred")
     lat = latency_report(detection_latencies(truth, pred, ann, step, tol)).drop("n_detected")
-    ev = event_metrics(decided, step, tol=tol, size=size)
+    ev = event_metrics(decided, step, tol=tol, size=size, local=local)
     ep = epoch_metrics(decided).drop("tp", "fp", "fn", "tn")
     joined = ev.join(ep, "fold").join(lat, "fold", "left")
     return joined.select(
@@ -253,13 +256,22 @@ def split_summary(
     """Per fold, as TEST (its rows) and TRAIN (all other rows): groups, rows, events, positives,
     their share, and the duration (sum over records + the median step between rows).
 
-    Sums and step counts are taken per fold first; only those few rows are repeated for TRAIN.
+    One frame gives the step and the label before each row; rows are reduced to (record, step) at once,
+    and all sums and step counts come from that small table. Only rows per fold are repeated for TRAIN.
     """
     fold_keys = ["fold", *keys]
-    edges = rising_edges(df.select(*fold_keys, time, pos, LABEL), LABEL, pos, fold_keys, size)
-    per_record = edges.groupBy(*fold_keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("edge").alias("events"),
-        F.sum(F.col(LABEL).cast("bigint")).alias("pos"), (F.max(time) - F.min(time)).alias("dur"),
+    w = Window.partitionBy(*fold_keys, "_block").orderBy(pos)
+    before = lambda c: F.lag(c).over(w)
+    edge = (F.col(LABEL) == 1) & (F.coalesce(before(LABEL), F.lit(0)) == 0)
+    framed = with_halo(df.select(*fold_keys, time, pos, LABEL), pos, before=1, size=size).select(
+        *fold_keys, time, LABEL, "_own", edge.cast("int").alias("edge"), (F.col(time) - before(time)).alias("step")
+    )
+    cells = cut_lineage(framed.where("_own").groupBy(*fold_keys, "step").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("edge").alias("events"), F.sum(F.col(LABEL).cast("bigint")).alias("pos"),
+        F.min(time).alias("_t0"), F.max(time).alias("_t1"),
+    ))
+    per_record = cells.groupBy(*fold_keys).agg(
+        *[F.sum(c).alias(c) for c in ("n", "events", "pos")], (F.max("_t1") - F.min("_t0")).alias("dur"),
     )
     per_group = per_record.groupBy("fold", "grp").agg(*[F.sum(c).alias(c) for c in ("n", "events", "pos", "dur")])
     per_fold = per_group.groupBy("fold").agg(
@@ -268,12 +280,7 @@ def split_summary(
     parts = ["groups", "n", "events", "pos", "dur"]
     both = _as_sides(per_fold, folds).groupBy("fold", "tag").agg(*[F.sum(c).alias(c) for c in parts])
 
-    w = Window.partitionBy(*fold_keys, "_block").orderBy(pos)
-    spread = with_halo(df.select(*fold_keys, time, pos), pos, before=1, size=size)
-    steps = spread.select("fold", "_own", (F.col(time) - F.lag(time).over(w)).alias("step")).where(
-        F.col("_own") & F.col("step").isNotNull()
-    )
-    counts = steps.groupBy("fold", "step").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cells.where("step is not null").groupBy("fold", "step").agg(F.sum("n").alias("_c"))
     sides = _as_sides(counts, folds).groupBy("fold", "tag", "step").agg(F.sum("_c").alias("_c"))
     medians = exact_median(sides, ["fold", "tag"], "step", "_c", "median_step")
     joined = both.join(medians, ["fold", "tag"], "left")

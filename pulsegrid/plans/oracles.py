@@ -408,6 +408,12 @@ SQL: dict[str, str] = {
     "ml_pipeline": "select grp, record, time, " + ", ".join(
         f"round((coalesce({c}, avg({c}) over ()) - avg({c}) over ()) / stddev_pop(coalesce({c}, m_{c})) over (), 6) as {c}" for c in FEATURES
     ) + " from (select *, " + ", ".join(f"avg({c}) over () as m_{c}" for c in FEATURES) + " from filled15)",
+    "importance_top": "select model, feature, round(s / sum(s) over (partition by model), 6) as importance from ("
+        "select model, feature, sum(s) as s from (select model, feature, "
+        "coalesce(v / nullif(sum(v) over (partition by model, fold), 0), 0) as s from (" + " union all ".join(
+            f"select cast(substr(grp, 2) as int) % 3 as fold, '{m}' as model, '{c}' as feature, round({f.format(c)}, 6) as v from filled15 group by 1"
+            for m, f in (("mean", "abs(avg({}))"), ("spread", "stddev_pop({})")) for c in FEATURES
+        ) + ")) group by model, feature) qualify row_number() over (partition by model order by s desc, feature) <= 10",
     "group_kfold": """select fold, count(*) as n_groups, sum(n)::bigint as n, sum(n_pos)::bigint as n_pos from (
         select *, case when turn < 7 then turn else 13 - turn end as fold from (select *, (row_number() over (
           order by n_pos desc, n desc, grp) - 1) % 14 as turn from (
