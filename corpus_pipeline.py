@@ -26,7 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id; rows without an id stay."""
+    """Of each class of similar documents the one with the smallest id, and if several rows share that
+    id all of these; rows without an id stay."""
     classes = ngram_join.ngram_jaccard_join(docs)
     copies = classes.where("class_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)

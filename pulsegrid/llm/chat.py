@@ -33,8 +33,12 @@ def header(role: Column) -> Column:
     return F.concat(F.lit(HEAD), F.replace(escaped(role), F.lit(":"), F.lit("\\:")), F.lit(": "))
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted) of every conversation: its rows by turn, adjacent turns of a role merged.
+def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """(conv_id, formatted, loss_mask) of every conversation: its rows by turn, adjacent turns of a role
+    merged.
+
+    `loss_mask` covers `formatted` in order, as runs of (n, loss): n code points, and whether the loss is
+    taken on them, which it is on the texts of role `learn` without headers and end marks.
 
     Rows of equal turn come in order of role, then text; null turns come first. Null roles and texts
     count as empty; a null conv_id is one conversation. Repeated rows are turns of their own. An empty
@@ -64,12 +68,27 @@ def format_chats(turns: DataFrame) -> DataFrame:
         ),
         "",
     )
-    return merged.select("conv_id", text.alias("formatted"))
+    def run_of(n: Column, loss: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), loss.alias("loss"))
+
+    never = F.lit(False)
+    mask = F.transform(
+        "runs",
+        lambda r: F.transform(
+            r["said"],
+            lambda t, i: F.array(
+                run_of(F.when(i == 0, F.length(header(r["role"]))).otherwise(0), never),
+                run_of(F.length(escaped(t["text"])), r["role"] == learn),
+                run_of(F.lit(len(TAIL)), never),
+            ),
+        ),
+    )
+    return merged.select("conv_id", text.alias("formatted"), F.flatten(F.flatten(mask)).alias("loss_mask"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
     """`chats` with turns, the array of (role, text) that its column `formatted` was made of."""
-    head = r"^### ((?:[^\\:]|\\(?s:.))*): "
+    head = r"^### ([^\\:]*+(?:\\(?s:.)[^\\:]*+)*+): "
     pieces = chats.withColumn("_pieces", F.split("formatted", TAIL))
     pieces = pieces.withColumn("_pieces", F.slice("_pieces", 1, F.size("_pieces") - 1))  # after the last mark nothing follows
     parted = pieces.withColumn(

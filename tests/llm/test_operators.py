@@ -206,6 +206,7 @@ def test_chats_read_back(spark):
     bits = ["\\", "#", "###", "### user: ", "</turn>", "</turn>\n", "<\\/turn>", "\n", "a", ":", "$1", "é", "\\\\"]
     said = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))
     rows = [(c, t, rng.choice(["user", "assistant", "system", "a:b\\", None, "### x"]), rng.choice([None, said(), said()])) for c in range(60) for t in range(rng.randint(1, 9))]
+    rows += [(98, 1, "long role " * 20_000, "x")]
     rows += [(None, 1, "user", "x"), (99, 1, "user", "b"), (99, 1, "user", "a"), (99, None, "user", "first"), (99, 1, "user", "a")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
     want = {}
@@ -216,6 +217,11 @@ def test_chats_read_back(spark):
     for r in read:
         assert r.loss == "".join(x for role, x in want[r.conv_id] if role == "assistant")
         assert r.formatted.count("</turn>\n") == len(want[r.conv_id])
+        at, learnt = 0, []
+        for n, loss in r.loss_mask:
+            learnt += [re.sub(r"(?s)\\(.)", r"\1", r.formatted[at : at + n])] if loss else []
+            at += n
+        assert at == len(r.formatted) and learnt == [x for role, x in want[r.conv_id] if role == "assistant"]
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
