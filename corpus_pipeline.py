@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding them gives the text back."""
     vocabulary = pieces.load_vocabulary(PIECE_FILE)
-    decoded = piece_fst.decode_pieces(piece_fst.encode_pieces(docs, vocabulary), vocabulary)
+    decoded = piece_fst.round_trip(docs, vocabulary)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

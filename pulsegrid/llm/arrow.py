@@ -6,6 +6,7 @@ text stays whole), so that the temporary arrays of a task do not grow with the b
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -153,11 +154,26 @@ def lists_of(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker outlives its task, and the next task may be another's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow, with this checkout on the workers' path where they share the file system; a cluster
-    that does not gets the package with --py-files."""
+    that does not gets the package with --py-files. Workers give back freed memory when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     df.sparkSession.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:

@@ -333,3 +333,16 @@ def decode_pieces(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", nam
         return {name: pa.array(shared.value.decode(column.flatten().to_numpy(), first), pa.string())}
 
     return append_columns(docs, ids, f"`{name}` string", work)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """`docs` with the columns of `encode_pieces` and of `decode_pieces` after it, from one pass: a task
+    needs one worker, and texts travel to it once. Odd rows give what those two give."""
+    shared = docs.sparkSession.sparkContext.broadcast((Encoder(vocabulary), Decoder(vocabulary)))
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        encoder, decoder = shared.value
+        found, first = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+        return {ids: lists_of(found, first, pa.int32()), name: pa.array(decoder.decode(found, first), pa.string())}
+
+    return append_columns(docs, "text", f"`{ids}` array<int>, `{name}` string", work)

@@ -106,7 +106,9 @@ def test_encoding_is_what_the_library_gives(spark, texts):
     for i, want in enumerate(library.encode(texts, num_threads=1)):
         assert rows[i]["ids"] == want, texts[i][:80]
         assert rows[i].decoded == texts[i].replace("▁", " ")
-    assert piece_fst.encode_pieces(docs.limit(0), vocabulary).count() == 0
+    both = piece_fst.round_trip(docs, vocabulary)
+    assert {r.doc_id: r for r in both.collect()} == rows and both.columns == out.columns
+    assert piece_fst.encode_pieces(docs.limit(0), vocabulary).count() == piece_fst.round_trip(docs.limit(0), vocabulary).count() == 0
 
 
 def test_unigram_counts_and_paths(texts):
