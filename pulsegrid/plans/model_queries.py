@@ -75,6 +75,40 @@ def svm_scores(spark, sf):
     return _held_out(spark, sf, models.ModelSpec("svm", lambda **p: LinearSVC(maxIter=10, **p), balanced=True))
 
 
+def _facts(rows, *more):
+    """Per fold what can be known of held-out scores without the model: each row of each group is there
+    once, and its score is a probability."""
+    counts = [
+        F.countDistinct("grp").alias("n_groups"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(*KEYS, "idx").alias("n_keys"),
+        F.sum(F.col(LABEL).cast("bigint")).alias("n_pos"), F.sum(F.col("score").between(0, 1).cast("bigint")).alias("n_scored"),
+    ]
+    return rows.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(*counts, *more)
+
+
+@query
+def gbt_held_out(spark, sf):
+    return _facts(gbt_scores(spark, sf))
+
+
+@query
+def lr_held_out(spark, sf):
+    return _facts(lr_scores(spark, sf))
+
+
+@query
+def svm_held_out(spark, sf):
+    return _facts(svm_scores(spark, sf))
+
+
+@query
+def nested_cv_held_out(spark, sf):
+    """All 7 x 6 folds of a logistic model at both widths: its held-out rows, and the settings tried per fold."""
+    spec = models.ModelSpec("logistic", lambda **p: LogisticRegression(maxIter=10, **p), widths=[4, 6], thresholds=[0.40], balanced=True)
+    result = models.nested_cv(views.features(spark, sf), FEATURES, {"logistic": spec})
+    tried = result.inner.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.countDistinct("inner", "width", "threshold").alias("n_tried"))
+    return _facts(result.decided).join(tried, "fold")
+
+
 def _full_cv(spark, sf):
     """All 7 x 6 folds and both widths; the trees are those of `_small_trees` (5 rounds of depth 3)."""
     feats = views.features(spark, sf)

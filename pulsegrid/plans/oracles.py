@@ -68,6 +68,11 @@ CTES["scored"] = """
 select cast(substr(grp, 2) as int) % 3 as fold, grp, record, time, idx, label,
   round(least(1, coalesce(HR_mean, 0) / 100), 6) as score from feat15"""
 
+CTES["dealt"] = """
+select grp, case when turn < 7 then turn else 13 - turn end as deal from (select grp, (row_number() over (
+  order by n_pos desc, n desc, grp) - 1) % 14 as turn from (
+    select grp, count(*) as n, count(*) filter (where label = 1) as n_pos from scored group by grp))"""
+
 CTES["fired"] = """
 select *, case when sum(score) over (partition by grp, record order by idx rows between 2 preceding and 1 following) / 4
   >= 0.45 then 1 else 0 end as pred from scored"""
@@ -486,6 +491,11 @@ SQL: dict[str, str] = {
           order by f1_mean desc, width, threshold) as rk from (select fold, width, threshold, avg(f1) as f1_mean,
           avg(recall) as recall_mean from sweep_grp group by fold, width, threshold)) where rk <= 5""",
 }
+_FACTS = """count(distinct grp) as n_groups, count(*) as n_rows, count(distinct (grp, record, idx)) as n_keys,
+  cast(sum(label) as bigint) as n_pos, count(*) as n_scored"""
+for _m in ("gbt", "lr", "svm"):
+    SQL[f"{_m}_held_out"] = f"select fold::bigint as fold, {_FACTS} from scored group by fold"
+SQL["nested_cv_held_out"] = f"select deal::bigint as fold, {_FACTS}, 12::bigint as n_tried from scored join dealt using (grp) group by deal"
 SQL["pruned_dataset"] = f"select grp, record, time, {r6(*FEATURES)}, label::bigint as label, fold, {r6(*CONTEXT)} from (select *, (cast(substr(grp, 2) as int) % 3)::bigint as fold from data)"
 
 
