@@ -304,6 +304,29 @@ def test_shards(spark, odd_docs):
     assert sharding.propagate_shards(odd_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linked", [95, 100])
+@pytest.mark.parametrize("size", [2, 5])
+def test_groups_stay_whole_in_full_shards(spark, linked, size):
+    docs = spark.range(8000).selectExpr(
+        "id as doc_id", f"if(id < {80 * linked}, concat('group ', id div {size}), concat('one ', id)) as text"
+    )
+    got = sharding.propagate_shards(docs).toPandas()
+    assert list(got["shard"].value_counts()) == [1000] * 8
+    of_groups = got[got.doc_id < 80 * linked]
+    assert (of_groups.groupby(of_groups.doc_id // size)["shard"].nunique() == 1).all()  # a perfect packing exists
+
+
+def test_groups_are_cut_by_the_quotas_alone(spark):
+    sizes = [2700, 900, 900, 700] + [3] * 500 + [2] * 650  # all rows linked; 2,700 take two shards and 700 of a third
+    rows = [(k, f"group {k}") for k, n in enumerate(sizes) for _ in range(n)]
+    got = sharding.propagate_shards(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert len(got) == len(rows) == 8000 and list(got["shard"].value_counts()) == [1000] * 8
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    held = got.groupby("doc_id")["shard"].nunique()
+    assert held[0] == 3 and (held[1:] > 1).sum() <= 4
+
+
 # ---- pipeline and plans ----
 
 def test_pipeline_keeps_columns_and_clean_documents(spark):
