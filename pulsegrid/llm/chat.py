@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, TAIL = "### ", "</turn>\n"
+SPAN = 64  # code points that the loss mask is compared with at once
 
 
 def escaped(text: Column) -> Column:
@@ -112,7 +113,26 @@ def read_chats(chats: DataFrame) -> DataFrame:
     return placed.withColumn("turns", turns).drop("_pieces", "_opens")
 
 
-def loss_text(role: str = "assistant") -> Column:
-    """What the loss is taken on: the texts of `role`, in order, nothing between."""
-    mine = F.filter("turns", lambda t: t["role"] == role)
-    return F.array_join(F.transform(mine, lambda t: t["text"]), "")
+def loss_text() -> Column:
+    """What the loss is taken on: the code points of `formatted` that `loss_mask` covers with loss, in
+    order, nothing between, unescaped.
+
+    Text and mask are cut into spans of SPAN code points, so that the work grows with the text alone;
+    only spans in which the mask changes are looked at by code point."""
+    flags = F.array_join(F.transform("loss_mask", lambda r: F.repeat(F.when(r["loss"], "1").otherwise("0"), r["n"])), "")
+    spans = F.zip_with(_spans(F.col("formatted")), _spans(flags), lambda text, flag: F.struct(text.alias("text"), flag.alias("flag")))
+
+    def chosen(span: Column) -> Column:
+        points = F.zip_with(
+            F.split(span["text"], ""), F.split(span["flag"], ""), lambda point, flag: F.when(flag == "1", point).otherwise("")
+        )
+        return (
+            F.when(~F.contains(span["flag"], F.lit("0")), span["text"])
+            .when(F.contains(span["flag"], F.lit("1")), F.array_join(points, "")).otherwise("")
+        )
+
+    return unescaped(F.array_join(F.transform(spans, chosen), ""))
+
+
+def _spans(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SPAN}}}"), F.lit(0))

@@ -73,11 +73,11 @@ def op6_chat(spark, sf):
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
-    read = chat.read_chats(chat.format_chats(rows.unionByName(planted)))
+    read = chat.read_chats(chat.format_chats(rows.unionByName(planted))).withColumn("_loss", chat.loss_text())
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
-        F.length(chat.loss_text()).cast("long").alias("loss_chars"), F.sha2(chat.loss_text().cast("binary"), 256).alias("loss_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

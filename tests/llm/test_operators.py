@@ -227,6 +227,20 @@ def test_chats_read_back(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_loss_is_read_through_the_mask(spark, monkeypatch):
+    rows = [(1, t, ("user", "assistant")[t % 2], "é😀</turn>\\" * (t * 7)) for t in range(12)]  # turns end inside spans and at their borders
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chats.select(chat.loss_text()).first()[0] == "".join(text for _, _, role, text in rows if role == "assistant")
+    shifted = F.concat(F.array(F.struct(F.lit(1).alias("n"), F.lit(False).alias("loss"))), "loss_mask")  # a mask one code point late
+    assert chats.withColumn("loss_mask", shifted).select(chat.loss_text()).first()[0] != chats.select(chat.loss_text()).first()[0]
+    right = {r.conv_id: r.loss_sha256 for r in queries.op6_chat(spark, SF).collect()}
+    whole = chat.format_chats
+    monkeypatch.setattr(chat, "format_chats", lambda turns: whole(turns, learn="user"))  # marks the wrong texts, formats the same
+    wrong = {r.conv_id: r.loss_sha256 for r in queries.op6_chat(spark, SF).collect()}
+    # the planted one says the same twice
+    assert right.keys() == wrong.keys() and all(right[c] != wrong[c] for c in right if c != -7)
+
+
 # ---- 7: n-gram join ----
 
 def near_corpus():
