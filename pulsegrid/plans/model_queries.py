@@ -1,10 +1,11 @@
-"""Registered queries that fit models. Fits are short (`_small_trees`, `maxIter`); folds and rows are whole."""
+"""Registered queries that fit models. Logistic and SVM queries fit the models of `build_models`; trees are short
+(`_small_trees`). Folds and rows are whole."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,12 @@ def gbt_scores(spark, sf):
 
 @query
 def lr_scores(spark, sf):
-    return _held_out(spark, sf, models.ModelSpec("logistic", lambda **p: LogisticRegression(maxIter=10, **p), balanced=True))
+    return _held_out(spark, sf, models.build_models()["logistic"])
 
 
 @query
 def svm_scores(spark, sf):
-    return _held_out(spark, sf, models.ModelSpec("svm", lambda **p: LinearSVC(maxIter=10, **p), balanced=True))
+    return _held_out(spark, sf, models.build_models()["svm"])
 
 
 def _facts(rows, *more):
@@ -103,8 +104,7 @@ def svm_held_out(spark, sf):
 @query
 def nested_cv_held_out(spark, sf):
     """All 7 x 6 folds of a logistic model at both widths: its held-out rows, and the settings tried per fold."""
-    spec = models.ModelSpec("logistic", lambda **p: LogisticRegression(maxIter=10, **p), widths=[4, 6], thresholds=[0.40], balanced=True)
-    result = models.nested_cv(views.features(spark, sf), FEATURES, {"logistic": spec})
+    result = models.nested_cv(views.features(spark, sf), FEATURES, {"logistic": models.build_models()["logistic"]})
     tried = result.inner.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.countDistinct("inner", "width", "threshold").alias("n_tried"))
     return _facts(result.decided).join(tried, "fold")
 

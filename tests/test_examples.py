@@ -250,3 +250,24 @@ def test_held_out_rows_do_not_leak_and_scaling_is_right(spark):
 def test_importances_survive_zero_totals(spark):
     df = spark.createDataFrame([("m", 0, "a", 1.0), ("m", 0, "b", 3.0), ("m", 1, "a", 0.0), ("m", 1, "b", 0.0)], "model string, fold int, feature string, importance double")
     assert [(r.feature, r.importance) for r in scoring.importance_rank(df).collect()] == [("b", 0.75), ("a", 0.25)]
+
+
+def test_linear_queries_fit_the_default_models(spark, monkeypatch):
+    from pulsegrid.operators import models
+    from pulsegrid.plans import model_queries
+
+    used = []
+    monkeypatch.setattr(model_queries, "_held_out", lambda spark, sf, spec: used.append(spec))
+    def stopped(df, cols, specs):
+        used.extend(specs.values())
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "nested_cv", stopped)
+    for name in ("lr_scores", "svm_scores"):
+        model_queries.REGISTRY[name](spark, "/root/testdata/sf0.001")
+    with pytest.raises(InterruptedError):
+        model_queries.nested_cv_held_out(spark, "/root/testdata/sf0.001")
+    full = models.build_models()
+    for spec, name in zip(used, ("logistic", "svm", "logistic"), strict=True):
+        assert spec.make().getMaxIter() == full[name].make().getMaxIter() == 100
+        assert (spec.balanced, spec.widths, spec.thresholds) == (full[name].balanced, full[name].widths, full[name].thresholds)
