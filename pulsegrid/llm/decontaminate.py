@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.llm.arrow import FOLDED_WORDS, Words, append_columns, lists_of, mix
+from pulsegrid.session import cut_lineage
 
 # --- fixed value: what counts as a word, after lower-casing A-Z ---
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LANE = 512  # window ends that one lane of the scan walks through
+STEPS = 8  # a part of the benchmark is put together from slices of at most two steps
+SUM_BLOCK = 50_000  # rows whose bytes are summed in one sort
 
 
 def _block_codes(hashes: np.ndarray, block: int) -> np.ndarray:
@@ -130,6 +135,37 @@ def _scan(batch: pa.RecordBatch, matchers: list[WuManber]) -> dict[str, pa.Array
     }
 
 
+def _parts(items: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct (item, text), in lists of at most `part_bytes` UTF-8 bytes; a longer row is alone."""
+    items = items.distinct().withColumn("_bytes", (F.octet_length("item") + F.octet_length("text")).cast("long"))
+    facts = items.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if facts["b"] <= part_bytes:
+        yield [tuple(r) for r in items.select("item", "text").collect()]
+        return
+    step = max(1, part_bytes // STEPS)
+    blocks = max(16, facts["n"] // SUM_BLOCK, facts["b"] // part_bytes)
+    items = cut_lineage(items.withColumn("_block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))))
+    long = items.where(F.col("_bytes") > step).withColumn("_slice", -1 - F.monotonically_increasing_id())
+    # the others fall into steps of their running sum: inside blocks, plus the bytes of the blocks before
+    short = items.where(F.col("_bytes") <= step)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = short.groupBy("_block").agg(F.sum("_bytes").alias("_sum"))
+    offsets = offsets.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_block").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_bytes").over(inside), F.lit(0))
+    short = short.join(offsets, "_block").withColumn("_slice", F.floor(start / step)).drop("_before")
+    sliced = cut_lineage(long.unionByName(short).select("item", "text", "_bytes", "_slice"))
+    parts, held = [], part_bytes + 1
+    for r in sorted(sliced.groupBy("_slice").agg(F.sum("_bytes").alias("b")).collect()):  # bounded by total / part_bytes
+        if held + r["b"] > part_bytes:
+            parts.append([])
+            held = 0
+        parts[-1].append(r["_slice"])
+        held += r["b"]
+    for slices in parts:
+        yield [tuple(r) for r in sliced.where(F.col("_slice").isin(slices)).select("item", "text").collect()]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 32 << 20) -> DataFrame:
     """`docs` with n_words, the word ranges hit (hit_starts, hit_ends; merged) and hit_items.
 
@@ -137,22 +173,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     of an item, or the whole item if it has fewer, but not none. Every word inside an occurrence is
     hit; hit_items are the ids of the items with an occurring pattern, as strings in string order.
 
-    The patterns of at most `part_bytes` of benchmark text are sent to the tasks at once; a larger
-    benchmark is searched for part by part, in chained passes that carry the hits on.
+    The patterns of at most `part_bytes` of distinct ids and texts, or of one longer item, are sent to the
+    tasks at once; a larger benchmark is searched for part by part, in chained passes that carry the
+    hits on.
 
     A null text has no words. Items without words match nothing; items of equal text are all found; a
     null item_id is called "null". Repeated rows get equal results, an empty table stays empty, an
     empty benchmark hits nothing. Columns of the same names are replaced, others kept.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    parts = max(1, -(-total // part_bytes))
     none = F.array().cast("array<int>")
     names = {"hit_starts": none, "hit_ends": none, "hit_items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")}
     out = docs.withColumns(names)
-    for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()  # about part_bytes
-        shared = docs.sparkSession.sparkContext.broadcast(index_items([tuple(r) for r in part], window))
+    for part in _parts(items, part_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index_items(part, window))
         out = append_columns(
             out, "text", "n_words long, hit_starts array<int>, hit_ends array<int>, hit_items array<string>",
             lambda batch, shared=shared: _scan(batch, shared.value),

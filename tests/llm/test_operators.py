@@ -166,6 +166,23 @@ def test_windows_against_brute_force(spark, odd_docs):
     assert decontaminate.find_contamination(odd_docs, bench.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_parts_of_a_benchmark_are_bounded(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(3 + i % 20))) for i in range(200)] + [(500, "said again and again " * 20)] * 100
+    items += [(501, "much longer than a part " * 200)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    docs = spark.createDataFrame([(i, text) for i, text in items[::7] + items[-1:]], DOCS)
+    seen, index = [], decontaminate.index_items
+    monkeypatch.setattr(decontaminate, "index_items", lambda part, window: seen.append(part) or index(part, window))
+    found = lambda **more: Bag((r.doc_id, r.n_words, str(r.hit_starts), str(r.hit_ends), str(r.hit_items)) for r in decontaminate.find_contamination(docs, bench, **more).collect())
+    whole = found()
+    assert len(seen) == 1 and sorted(seen.pop()) == sorted({(str(i), text) for i, text in items})
+    assert found(part_bytes=4000) == whole
+    assert sorted(sum(seen, [])) == sorted({(str(i), text) for i, text in items})
+    sizes = [sum(len(i) + len(text) for i, text in part) for part in seen]
+    assert all(size <= 4000 or len(part) == 1 for size, part in zip(sizes, seen))
+    assert len(seen) <= 2 * sum(sizes) / 4000 + 1
+
+
 # ---- 5 and 9: quality ----
 
 def test_base_counts_against_brute_force(odd_docs):
