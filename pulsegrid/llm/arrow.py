@@ -60,6 +60,7 @@ FOLDED_WORDS = byte_table(lambda b: b >= 128 or chr(b).isalnum(), ascii_lower)
 # Whatever is not ASCII white space: [^\x20\x09-\x0D]. A zero byte is an ordinary character there, so it
 # is folded onto 255, a byte that UTF-8 never has.
 SPACED_WORDS = byte_table(lambda b: not (b == 32 or 9 <= b <= 13), lambda b: b or 255)
+SPACED_FOLDED_WORDS = byte_table(lambda b: not (b == 32 or 9 <= b <= 13), lambda b: ascii_lower(b) or 255)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:

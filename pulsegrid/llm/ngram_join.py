@@ -55,8 +55,8 @@ class TokenSets:
     A text of fewer words, but not none, has one n-gram made of all of them.
     """
 
-    def __init__(self, column: pa.Array, n: int):
-        words = Words(column, FOLDED_WORDS)
+    def __init__(self, column: pa.Array, n: int, table: np.ndarray = FOLDED_WORDS):
+        words = Words(column, table)
         texts = len(words.count)
         at, value = words.windows(n)
         doc = words.doc[at]

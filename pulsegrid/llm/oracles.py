@@ -104,6 +104,86 @@ select w.doc_id, coalesce(least(l.b, w.doc_id), w.doc_id) as class_id, coalesce(
 from w left join lowest l on l.a = w.doc_id left join degrees d on d.a = w.doc_id
 """
 
+OP11 = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t from documents
+), drawn as (
+  select *, len(t) as n, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(h, 8 * i + 1, 8))::bigint) as u from d
+), cuts as (
+  select *, least(u[1] % (n + 1), u[2] % (n + 1)) as a, greatest(u[1] % (n + 1), u[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or u[3] % 100 >= 90 then 'plain'
+      when u[4] % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, array_to_string(t[1 : a], '') as p, array_to_string(t[a + 1 : b], '') as m, array_to_string(t[b + 1 :], '') as s from cuts
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+OP12 = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as words from documents
+), grams as (
+  select distinct doc_id, array_to_string(words[i : i + 1], ' ') as g
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 1, 1) + 1)) as i from w where len(words) > 0)
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by 1, 2
+), links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), lowest as (
+  select a, min(b) as b from reach group by a
+)
+select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(least(l.b, w.doc_id), w.doc_id) as component_id, coalesce(l.b, w.doc_id) >= w.doc_id as kept
+from w left join sizes using (doc_id) left join lowest l on l.a = w.doc_id
+"""
+
+# crc32 of a feature byte by byte, with the table of its 256 remainders made by the rule
+OP13 = f"""
+with crc as (
+  select list(list_reduce([b] || range(8), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) order by b) as tab from range(256) t(b)
+), texts as (
+  select 'd' as kind, doc_id as id, {FOLD.format("coalesce(text, '')")} as text from documents union all select 'b', null, {FOLD.format("coalesce(text, '')")} from benchmark
+), w as (
+  select kind, id, regexp_extract_all(text, '{WORD}') as words from texts
+), f as (
+  select kind, id, array_to_string(words[i : i + k - 1], ' ') as g
+  from (select kind, id, words, k, unnest(range(1, len(words) - k + 2)) as i from w, (select unnest([1, 2, 3]) as k) where len(words) >= k)
+), counted as (
+  select kind, id, g, count(*) as c from f group by all
+), bytes as (
+  select g, hex(encode(g)) as x from (select distinct g from counted)
+), hashed as (
+  select g, xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint),
+    lambda r, v: xor(r // 256, tab[1 + xor(r % 256, v)])), 4294967295) % 10000 as bucket from bytes, crc
+), per as (
+  select kind, bucket, sum(c) as n from counted join hashed using (g) group by 1, 2
+), s as (select bucket, n from per where kind = 'd'), t as (select bucket, n from per where kind = 'b'),
+gains as (
+  select b as bucket, cast(floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double)
+    / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double))) as bigint) as gain
+  from range(10000) r(b) left join s on s.bucket = b left join t on t.bucket = b
+), sums as (
+  select id as doc_id, sum(c) as n_features, sum(c * gain) as weight from counted join hashed using (g) join gains using (bucket) where kind = 'd' group by 1
+), scored as (
+  select w.id as doc_id, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight, len(words) >= 20 as fit,
+    cast(coalesce(weight, 0) as bigint) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::bigint + 0.5::double) / 4294967296))) as bigint) as score
+  from w left join sums on sums.doc_id = w.id where kind = 'd'
+), placed as (
+  select *, row_number() over (partition by fit order by score desc, doc_id) as r from scored
+)
+select doc_id, n_features, weight, score, case when fit and r <= 5 * (select count(*) from scored where fit) // 100 then r end as rank from placed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op2_warc": OP2, "op4_decontaminate": OP4, "op6_chat": OP6, "op7_ngram_join": OP7}
+    return {"op1_line_dedup": OP1, "op2_warc": OP2, "op4_decontaminate": OP4, "op6_chat": OP6, "op7_ngram_join": OP7,
+            "op11_fill_middle": OP11, "op12_near_dedup": OP12, "op13_importance": OP13}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, line_dedup, linear, ngram_join, piece_fst, pieces, quality_model, quality_rules, sharding, token_counts, warc
+from pulsegrid.llm import chat, decontaminate, fill_middle, importance, line_dedup, linear, near_dedup, ngram_join, piece_fst, pieces, quality_model, quality_rules, sharding, token_counts, warc
 from pulsegrid.llm.arrow import shared_folder
 
 PIECE_FILE = os.environ.get("PIECE_FILE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -104,3 +104,23 @@ def op9_quality_model(spark, sf):
 @query
 def op10_sharding(spark, sf):
     return sharding.propagate_shards(table(spark, sf, "documents"))
+
+
+@query
+def op11_fill_middle(spark, sf):
+    out = fill_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op13_importance(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
