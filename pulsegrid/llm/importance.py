@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.llm.arrow import FOLDED_WORDS, Words, append_columns, map_arrow, slices, sum_by, written
-from pulsegrid.llm.interning import Interned, Spans
+from pulsegrid.llm.interning import FAR, Interned, Spans, crc32_joined
 
 
 @dataclass(frozen=True)
@@ -39,23 +40,45 @@ class Features:
         place = np.concatenate([[0], np.cumsum(kept)])
         data = words.bytes[kept]
         data[data == 0] = 32
-        first, last = place[words.start], place[words.end - 1] + 1
-        start, size, doc = [], [], []
+        spans, first, last = Spans(data), place[words.start], place[words.end - 1] + 1
+        word, size, doc = [], [], []
         for n in range(1, plan.longest + 1):
             at = np.flatnonzero(words.doc[: len(first) - n + 1] == words.doc[n - 1 :]) if len(first) >= n else np.zeros(0, np.int64)
-            start.append(first[at])
+            word.append(at)
             size.append(last[at + n - 1] - first[at])
             doc.append(words.doc[at])
         self.words = words.count
+        self.runs = np.concatenate([[0], np.cumsum([len(d) for d in doc])])
         self.text = np.concatenate(doc)
-        self.table = Interned(Spans(data), np.concatenate(start), np.concatenate(size), plan.buckets)
+        word, size = np.concatenate(word), np.concatenate(size)
+        start, length = first[word], np.repeat(np.arange(1, plan.longest + 1), np.diff(self.runs))
+        one, wide = spans.crc32(first, last - first), last - first  # of each word
+        spaced = crc32_joined(np.full(len(one), crc32(b" "), dtype=np.uint32), one, np.minimum(wide, FAR - 1))
+
+        def checks(at: np.ndarray) -> np.ndarray:
+            """The checksums of n-grams put together from those of their words, unless a word is very long."""
+            n, w = length[at], word[at]
+            out, plain = one[w], np.ones(len(at), dtype=bool)
+            for j in range(1, plan.longest):
+                more = np.flatnonzero(n > j)
+                next_ = w[more] + j
+                plain[more] &= wide[next_] < FAR
+                out[more] = crc32_joined(out[more], spaced[next_], np.minimum(wide[next_], FAR - 1) + 1)
+            far = np.flatnonzero(~plain)
+            out[far] = spans.crc32(start[at[far]], size[at[far]])
+            return out
+
+        self.table = Interned(spans, start, size, plan.buckets, checks)
         self.per_text = np.bincount(self.text, minlength=len(words.count))
 
     def weights(self, gains: np.ndarray) -> np.ndarray:
         """The sum of the gains of each text's features: slots look up their bucket, occurrences their slot."""
-        order = np.argsort(self.text, kind="stable")
-        gain = gains[self.table.bucket][self.table.slot[order]]
-        return sum_by(gain, np.concatenate([[0], np.cumsum(self.per_text)]))
+        gain = gains[self.table.bucket][self.table.slot]
+        total = np.zeros(len(self.words), dtype=np.int64)
+        for low, high in zip(self.runs[:-1], self.runs[1:]):  # texts ascend among the n-grams of one length
+            per_text = np.bincount(self.text[low:high], minlength=len(total))
+            total += sum_by(gain[low:high], np.concatenate([[0], np.cumsum(per_text)]))
+        return total
 
 
 def bucket_counts(rows: DataFrame, plan: Resampling) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -13,6 +13,42 @@ _P1, _P2, _P3, _P4, _P5 = (
 _EDGE = 40  # bytes behind the buffer that a look at eight bytes may touch
 
 
+def _crc_tables() -> list[np.ndarray]:
+    """What one to four bytes do to a CRC-32 (the reflected polynomial EDB88320)."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    tables = [table]
+    for _ in range(3):
+        tables.append(table[tables[-1] & 255] ^ (tables[-1] >> 8))
+    return tables
+
+
+_CRC = _crc_tables()
+FAR = 64  # bytes by which a CRC-32 is moved on at once, at most
+
+
+def _shift_tables() -> np.ndarray:
+    """What 0 to FAR zero bytes make of each byte of a CRC-32."""
+    now = np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    steps = [now]
+    for _ in range(FAR):
+        now = _CRC[0][now & 255] ^ (now >> 8)
+        steps.append(now)
+    return np.stack(steps).reshape(-1)
+
+
+_SHIFTS = _shift_tables()
+
+
+def crc32_joined(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The CRC-32 of pairs of texts from those of their halves; `size` is the right half's, FAR at most."""
+    base = size.astype(np.int64) << 10
+    moved = _SHIFTS[base + (left & 255)] ^ _SHIFTS[base + 256 + ((left >> 8) & 255)]
+    moved ^= _SHIFTS[base + 512 + ((left >> 16) & 255)] ^ _SHIFTS[base + 768 + (left >> 24)]
+    return moved ^ right
+
+
 def _rotl(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
@@ -68,10 +104,29 @@ class Spans:
             value = (value ^ _round(np.uint64(0), one)) * _P1 + _P4
         return value, at
 
+    def crc32(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The CRC-32 of each span, four bytes at a time with the published tables of that many steps."""
+        t0, t1, t2, t3 = _CRC
+        value = np.full(len(start), 0xFFFFFFFF, dtype=np.uint32)
+        at, end = start.copy(), start + size
+        live = np.flatnonzero(size >= 4)
+        while live.size:
+            x = value[live] ^ self._four[at[live]]
+            value[live] = t3[x & 255] ^ t2[(x >> 8) & 255] ^ t1[(x >> 16) & 255] ^ t0[x >> 24]
+            at[live] += 4
+            live = live[end[live] - at[live] >= 4]
+        live = np.flatnonzero(at < end)
+        while live.size:
+            x = value[live]
+            value[live] = t0[(x ^ self._one[at[live]]) & 255] ^ (x >> 8)
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return ~value
+
     def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the spans of `size` bytes at a and at b have the same bytes."""
         same = np.ones(len(a), dtype=bool)
-        live, done = np.flatnonzero(a != b), 0
+        live, done = np.arange(len(a)), 0
         while live.size:
             left = size[live] - done
             mask = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
@@ -91,27 +146,29 @@ class Interned:
     find a free slot one settles there, and all compare themselves with whoever holds it.
     """
 
-    def __init__(self, spans: Spans, start: np.ndarray, size: np.ndarray, buckets: int):
+    def __init__(self, spans: Spans, start: np.ndarray, size: np.ndarray, buckets: int, crc32: Callable[[np.ndarray], np.ndarray] | None = None):
+        """`crc32` gives the checksums of the spans of these numbers, if there is a shorter way than over their bytes."""
         slots = 1 << max(4, int(2 * len(start)).bit_length())
-        mask = np.int64(slots - 1)
+        mask = np.int32(slots - 1)
         key = spans.xxhash64(start, size)
-        holder = np.full(slots, -1, dtype=np.int64)
-        self.slot = (key & np.uint64(mask)).astype(np.int64)
-        live = np.arange(len(start))
+        holder = np.full(slots, -1, dtype=np.int32)
+        self.slot = (key & np.uint64(mask)).astype(np.int32)
+        live = np.arange(len(start), dtype=np.int32)
         while live.size:
             at = self.slot[live]
-            free = holder[at] < 0
+            free = np.flatnonzero(holder[at] < 0)
             holder[at[free]] = live[free]
             held = holder[at]
+            other = np.flatnonzero(held != live)  # the rest have settled
+            held, at, live = held[other], at[other], live[other]
             same = (key[held] == key[live]) & (size[held] == size[live])
             sure = np.flatnonzero(same)
             same[sure] = spans.equal(start[held[sure]], start[live[sure]], size[live[sure]])
             live = live[~same]
-            self.slot[live] = (self.slot[live] + 1) & mask
+            self.slot[live] = (at[~same] + 1) & mask
         self.count = np.bincount(self.slot, minlength=slots)
         self.used = np.flatnonzero(self.count)
         first = holder[self.used]
-        raw = spans.data.tobytes()
-        self.bucket = np.zeros(slots, dtype=np.int64)
-        ends = (start[first] + size[first]).tolist()
-        self.bucket[self.used] = [zlib.crc32(raw[a:b]) % buckets for a, b in zip(start[first].tolist(), ends)]
+        self.bucket = np.zeros(slots, dtype=np.int32)
+        checks = spans.crc32(start[first], size[first]) if crc32 is None else crc32(first)
+        self.bucket[self.used] = checks % np.uint32(buckets)
