@@ -27,17 +27,10 @@ def canonical_names(headers: list[str]) -> dict[str, str]:
     return chosen
 
 
-def canonicalise(raw: DataFrame, headers: list[str]) -> DataFrame:
-    """Text columns `_c0.._cN` of one header layout -> `ticks` (the first column) plus the four
-    channels, absent ones null."""
-    names = canonical_names(headers)
-    place = {name: f"_c{headers.index(h)}" for h, name in names.items()}
-    channels = [
-        (nan_to_null(clean_float(token_to_null(place[c]))) if c in place else F.lit(None).cast("double")).alias(c)
-        for c in CHANNELS
-    ]
-    ticks = token_to_null("_c0").try_cast("double").alias("ticks")
-    return raw.select(*KEYS, "file_pos", ticks, *channels)
+def canonicalise(raw: DataFrame) -> DataFrame:
+    """Text columns `ticks` and the four channels -> numbers; cells that do not parse are null."""
+    channels = [nan_to_null(clean_float(token_to_null(c))).alias(c) for c in CHANNELS]
+    return raw.select(*KEYS, "file_pos", token_to_null("ticks").try_cast("double").alias("ticks"), *channels)
 
 
 def elapsed_from_ticks(

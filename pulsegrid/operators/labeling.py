@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.functions import (
     annotation_key, clipped, lenient_int, mentions, round_seconds, strict_int,
@@ -67,8 +68,9 @@ def interval_label(
     """label = 1 iff some event with a positive duration has onset <= second < onset + duration.
 
     Events are cut at cell borders and gathered per (record, cell), so a sample meets at most one
-    row and the join key spreads a long record over all its cells. Inside a cell the distinct
-    clipped intervals are bounded by the cell length.
+    row and the join key spreads a long record over all its cells. Inside a cell, spans that touch or
+    overlap are merged by a running maximum of their ends; what is left are at most half as many spans as the cell has
+    seconds, in order, and a sample finds its own by bisection.
     """
     on = _keys_of(samples, ann)
     second = F.col("sec").cast("bigint") if time is None and "sec" in samples.columns else round_seconds(time or TIME)
@@ -89,15 +91,30 @@ def interval_label(
                 F.least("_b", (F.col("_cell") + 1) * cell).alias("b"),
             ).alias("_span"),
         )
-        .groupBy(*on, "_cell")
-        .agg(F.collect_set("_span").alias("_spans"))
+        .select(*on, "_cell", "_span.*").distinct()
     )
-    hit = F.exists("_spans", lambda s: (F.col("_sec") >= s["a"]) & (F.col("_sec") < s["b"]))
+    before = Window.partitionBy(*on, "_cell").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    upto = before.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int")
+    merged = (
+        cells.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(upto))
+        .groupBy(*on, "_cell", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .groupBy(*on, "_cell").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_spans"))
+    )
+    # the last span that begins at or before the second, by halving steps; at most (cell + 1) / 2 spans
+    steps = [1 << k for k in reversed(range(((cell + 1) // 2).bit_length()))]
+    begins = lambda at: F.try_element_at(F.col("_spans"), at)["a"]
+    place = F.aggregate(
+        F.array(*[F.lit(k) for k in steps]), F.lit(0),
+        lambda at, k: F.when(begins(at + k) <= F.col("_sec"), at + k).otherwise(at),
+    )
+    found = F.try_element_at(F.col("_spans"), F.nullif(place, F.lit(0)))
+    hit = (F.col("_sec") < found["b"])
     return (
         samples.drop(LABEL)
         .withColumn("_sec", second)
         .withColumn("_cell", block_of("_sec", cell))
-        .join(cells, [*on, "_cell"], "left")
+        .join(merged, [*on, "_cell"], "left")
         .withColumn(LABEL, F.coalesce(hit, F.lit(False)).cast("tinyint"))
         .drop("_sec", "_cell", "_spans")
     )

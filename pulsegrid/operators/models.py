@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.dataset import ffill_bfill
+from pulsegrid.operators.blocks import join_spread
 from pulsegrid.operators.folds import assign_folds
-from pulsegrid.operators.scoring import param_recap, with_rates
+from pulsegrid.operators.many_logistic import WHOLE, Fit, all_inner_folds, fit_together, score_together
+from pulsegrid.operators.scoring import param_recap, param_top, with_rates
 from pulsegrid.operators.smoothing import firing_power, threshold_sweep
 from pulsegrid.schema import (
     INNER_FOLDS, KEYS, LABEL, OUTER_FOLDS, THRESHOLDS, WEIGHT_BOOST, WIDTHS,
 )
 from pulsegrid.session import cut_lineage
+from pulsegrid.sources.tables import Kept, finished, kept_or_cut
 
 WEIGHT = "_weight"
 PARALLEL_FITS = 6  # inner folds whose jobs are submitted at once
@@ -39,6 +42,7 @@ class ModelSpec:
     widths: list[int] = field(default_factory=lambda: list(WIDTHS))
     thresholds: list[float] = field(default_factory=lambda: list(THRESHOLDS))
     balanced: bool = False  # balanced class weights instead of the boosted positive weight
+    together: bool = False  # a logistic regression, whose fits are made all at once; its grid may hold regParam
 
     def choices(self) -> list[dict]:
         return [dict(zip(self.grid, values)) for values in product(*self.grid.values())]
@@ -56,7 +60,7 @@ def build_models(maxIter: int | None = None, maxDepth: int | None = None) -> dic
     trees = {k: v for k, v in (("maxIter", maxIter), ("maxDepth", maxDepth)) if v is not None}
     return {
         "gbt": ModelSpec("gbt", lambda **p: boosted_trees(**{**trees, **p})),
-        "logistic": ModelSpec("logistic", lambda **p: LogisticRegression(**p), balanced=True),
+        "logistic": ModelSpec("logistic", lambda **p: LogisticRegression(**p), balanced=True, together=True),
         "svm": ModelSpec("svm", lambda **p: LinearSVC(**p), balanced=True, thresholds=[0.55, 0.65, 0.75]),
     }
 
@@ -148,13 +152,15 @@ def nested_cv(
     outer: int = OUTER_FOLDS,
     inner: int = INNER_FOLDS,
     fill: bool = True,
+    store: Kept | None = None,
 ) -> CVResult:
     """Group-aware nested cross-validation.
 
     Post-processing parameters act after scoring, so every inner fold is fitted once per model
     setting and all (width, threshold) pairs are evaluated on its scores in one pass. The dataset
     is materialised once; every fit and score reads it from there. What reaches the driver per
-    step is one row per parameter choice.
+    step is one row per parameter choice. Models that are fitted `together` need as many passes for all folds as
+    others for one. With a `store`, scores and importances of finished fits are read from it.
     """
     df, cols = _safe_names(df, cols)
     if fill:
@@ -171,7 +177,10 @@ def nested_cv(
     decided, inner_rows, chosen, gains, failures = [], [], [], [], {}
     for name, spec in models.items():
         try:
-            outcome = [_outer_fold(df, cols, spec, f, inner, keep, counts) for f in range(outer)]
+            if spec.together:
+                outcome = _all_folds(df, cols, spec, outer, inner, keep, counts, store)
+            else:
+                outcome = [_outer_fold(df, cols, spec, f, inner, keep, counts, store) for f in range(outer)]
         except Exception as error:  # one model must not take the others down
             failures[name] = str(error)
             continue
@@ -192,35 +201,101 @@ def nested_cv(
     )
 
 
-def _outer_fold(df: DataFrame, cols: list[str], spec: ModelSpec, fold: int, inner: int, keep: list[str], counts: DataFrame):
+CHOICE = ["choice", "width", "threshold"]
+
+
+def _rated(counts: DataFrame, fold) -> DataFrame:
+    return with_rates(counts).select(
+        fold.alias("fold"), "inner", *CHOICE, F.col("f1_epoch").alias("f1"), F.col("recall_epoch").alias("recall"),
+        F.col("precision_epoch").alias("precision"),
+    )
+
+
+def _all_folds(
+    df: DataFrame, cols: list[str], spec: ModelSpec, outer: int, inner: int, keep: list[str], counts: DataFrame, store: Kept | None
+) -> list[tuple]:
+    """All outer folds of a logistic regression: one fit of all, one pass for all scores."""
+    choices = spec.choices()
+    if any(set(c) - {"regParam"} for c in choices):
+        raise ValueError("fits made together know no parameter but regParam")
+    fits = [
+        Fit(f, i, n, float(c.get("regParam", 0.0))) for n, c in enumerate(choices) for f in range(outer) for i in (*range(inner), WHOLE)
+    ]
+    whole = {(f.outer, f.choice): k for k, f in enumerate(fits) if f.inner == WHOLE}
+    spark, made = df.sparkSession, {}
+
+    def scores() -> DataFrame:
+        rows = cut_lineage(join_spread(df, all_inner_folds(counts, outer, inner), ["grp"], "idx", KEYS))
+        made["model"] = fit_together(rows, cols, fits, None if spec.balanced else float(WEIGHT_BOOST))
+        return score_together(rows, made["model"], keep, lambda f: True)
+
+    def gains() -> DataFrame:
+        found = [(f, n, c, abs(v)) for (f, n), k in whole.items() for c, v in made["model"].coefficients(k)]
+        return spark.createDataFrame(found, "outer int, choice int, feature string, importance double")
+
+    name = f"model={spec.name}/all"
+    scored = kept_or_cut(store, f"{name}/scores", scores)
+    if "model" not in made and not finished(spark, f"{store.path}/{name}/importances"):
+        scores()  # broken off between the two tables
+    weights = kept_or_cut(store, f"{name}/importances", gains)
+    inner_rows = scored.where(F.col("inner") != WHOLE)
+    sums = threshold_sweep(inner_rows, spec.widths, spec.thresholds, ["outer", "choice", "inner"], keys=["outer", "choice", *KEYS])
+    results = cut_lineage(_rated(sums, F.col("outer")))
+    best = {r["fold"]: r for r in param_top(results, CHOICE, 1).collect()}  # a row per fold
+    gained = weights.collect()  # a row per fold, choice and feature
+    out = []
+    for f in range(outer):
+        pick = best[f]
+        mine = scored.where((F.col("inner") == WHOLE) & (F.col("outer") == f) & (F.col("choice") == pick["choice"])).select(*keep, "score")
+        decided = firing_power(mine, pick["width"], pick["threshold"]).withColumn("model", F.lit(spec.name))
+        choice = (spec.name, f, str(choices[pick["choice"]]), int(pick["width"]), float(pick["threshold"]))
+        importance = [(r["feature"], r["importance"]) for r in gained if r["outer"] == f and r["choice"] == pick["choice"]]
+        out.append((decided, results.where(F.col("fold") == f), choice, importance))
+    return out
+
+
+def _outer_fold(
+    df: DataFrame, cols: list[str], spec: ModelSpec, fold: int, inner: int, keep: list[str], counts: DataFrame, store: Kept | None = None
+):
     train = assign_folds(df.where(F.col("fold") != fold), inner, "inner", counts=counts.where(F.col("fold") != fold).drop("fold"))
     test = df.where(F.col("fold") == fold)
+    place = f"model={spec.name}/outer={fold}"
 
     def fitted(task: tuple[int, dict, int]) -> DataFrame:
         number, params, i = task
-        model = fit_pipeline(train.where(F.col("inner") != i), cols, spec, params)
-        held_out = score(model, train.where(F.col("inner") == i), ["inner", *KEYS, "idx", LABEL])
-        return held_out.withColumn("choice", F.lit(number))
+
+        def scores() -> DataFrame:
+            model = fit_pipeline(train.where(F.col("inner") != i), cols, spec, params)
+            return score(model, train.where(F.col("inner") == i), ["inner", *KEYS, "idx", LABEL])
+
+        rows = scores() if store is None else store.table(f"{place}/inner={i}-{number}", scores)
+        return rows.withColumn("choice", F.lit(number))
 
     tasks = [(number, params, i) for number, params in enumerate(spec.choices()) for i in range(inner)]
     with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:  # fits are many small jobs; their order does not matter
         rows = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), tasks))
-    counts = threshold_sweep(rows, spec.widths, spec.thresholds, ["choice", "inner"], keys=["choice", *KEYS])
-    results = cut_lineage(
-        with_rates(counts).select(
-            F.lit(fold).alias("fold"), "inner", "choice", "width", "threshold",
-            F.col("f1_epoch").alias("f1"), F.col("recall_epoch").alias("recall"),
-            F.col("precision_epoch").alias("precision"),
-        )
-    )
-    best = param_recap(results, ["choice", "width", "threshold"], 1).first()
+    sums = threshold_sweep(rows, spec.widths, spec.thresholds, ["choice", "inner"], keys=["choice", *KEYS])
+    results = cut_lineage(_rated(sums, F.lit(fold)))
+    best = param_recap(results, CHOICE, 1).first()
     params = spec.choices()[best["choice"]]
-    model = fit_pipeline(train.drop("inner"), cols, spec, params)
-    decided = firing_power(score(model, test, keep), best["width"], best["threshold"]).withColumn(
-        "model", F.lit(spec.name)
-    )
+    model = []
+
+    def refitted() -> PipelineModel:
+        if not model:
+            model.append(fit_pipeline(train.drop("inner"), cols, spec, params))
+        return model[0]
+
+    def gains() -> DataFrame:
+        return df.sparkSession.createDataFrame(importances(refitted()), "feature string, importance double")
+
+    if store is None:
+        scored, gained = score(refitted(), test, keep), importances(refitted())
+    else:
+        scored = store.table(f"{place}/test-{best['choice']}", lambda: score(refitted(), test, keep))
+        gained = [tuple(r) for r in store.table(f"{place}/importances-{best['choice']}", gains).collect()]  # a row per feature
+    decided = firing_power(scored, best["width"], best["threshold"]).withColumn("model", F.lit(spec.name))
     choice = (spec.name, fold, str(params), int(best["width"]), float(best["threshold"]))
-    return decided, results, choice, importances(model)
+    return decided, results, choice, gained
 
 
 def fit_final(df: DataFrame, cols: list[str], spec: ModelSpec, params: dict | None = None) -> tuple[PipelineModel, list[str]]:

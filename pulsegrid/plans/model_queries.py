@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +55,9 @@ def group_kfold(spark, sf):
 def ml_pipeline(spark, sf):
     """The imputed and standardised features that a model fitted on all rows gets."""
     df = _features(spark, sf)
-    model = models.fit_pipeline(df, FEATURES, models.ModelSpec("logistic", lambda **p: LogisticRegression(maxIter=10, **p), balanced=True))
-    vector = models.vector_to_array("features")
-    names = models.feature_names(model)
-    return model.transform(df).select(*KEYS, "time", *[(F.round(vector[i], 6) + F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+    stats, _, _ = models.train_facts(df, FEATURES, True)
+    out = models.standardiser(stats).transform(df)
+    return out.select(*KEYS, "time", *[(F.round(f"z_{n}", 6) + F.lit(0.0)).alias(n) for n in stats])
 
 
 @query

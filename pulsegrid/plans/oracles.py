@@ -352,6 +352,19 @@ SQL: dict[str, str] = {
         over (partition by grp, record, sec order by event_id desc) as rk from sparse) where rk = 1""",
     "incremental_skip": """select distinct concat('R', cast(user_id as varchar)) as record from events where user_id not in (
         select user_id from events where event_type = 'signup' group by user_id having count(*) >= 12)""",
+    "manifest_pending": """with named as (
+          select user_id as u, event_type as input, count(*) as size, max(ts) as mtime from events group by 1, 2
+        ), now as (
+          select u, input, size + (u % 5 = 0)::int as size, mtime from named where not (u % 11 = 0 and input = 'error')
+        ), newer as (
+          select * from named where u % 2 = 0 and not (u % 3 = 0 and input = 'click')
+        ), done as (
+          select * from newer union all select u, input, 0, mtime from named where u % 7 <> 0 and u not in (select u from newer)
+        ), differ as (
+          (select * from now except select * from done) union all (select * from done except select * from now)
+        )
+        select distinct concat('P', cast(u % 10 as varchar)) as grp, concat('R', cast(u as varchar)) as record
+        from now where u in (select u from differ)""",
     "event_type_filter": """select record, ann_pos, onset::bigint as onset, duration::bigint as duration from ann
         where lower(description) like '%fbtcs%'""",
     "annotation_clean": """select record, ann_pos, onset::bigint as onset,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import models as M
 from pulsegrid.operators.cleaning import dedup_last, schema_fill
-from pulsegrid.operators.dataset import assemble, diag_union, null_report, raw_semi
+from pulsegrid.operators.dataset import assemble, columns_to_drop, diag_union, null_report, raw_semi
 from pulsegrid.operators.events import both_runs, event_overlap, of_kind
 from pulsegrid.operators.features import window_features
 from pulsegrid.operators.grid import last_per_second, record_bounds, span_guard, with_second
@@ -25,9 +25,10 @@ from pulsegrid.operators.scoring import (
 from pulsegrid.schema import EVENT_TYPE, FINAL_THRESHOLD, FINAL_WIDTH, KEYS, LABEL, TIME, WINDOW
 from pulsegrid.session import cut_lineage
 from pulsegrid.sources.annotations import read_annotations
-from pulsegrid.sources.recordings import raw_files, read_pending
+from pulsegrid.sources.manifest import as_inputs, commit, pending, read_manifest
+from pulsegrid.sources.recordings import cleaned, raw_files, read_raw
 from pulsegrid.sources.sinks import save_model, write_reports, write_summary
-from pulsegrid.sources.tables import cached_stage, pending, read_stage, stage_version, write_stage, written_at
+from pulsegrid.sources.tables import Kept, cached_stage, read_stage, stage_version, write_stage
 
 
 @dataclass
@@ -39,17 +40,22 @@ class Folders:
     def of(self, name: str) -> str:
         return f"{self.work}/{name}"
 
+    def manifest(self, stage: str) -> str:
+        return f"{self.work}/manifests/{stage}"
+
 
 def preprocess(spark: SparkSession, at: Folders, force: bool = False) -> DataFrame:
     """CSV -> canonical signal, one row per (recording, time).
 
-    Recordings whose stage is newer than all their files are left out before any file is opened.
+    Recordings whose files are those of the manifest are left out before any file is opened.
     """
-    files = raw_files(spark, at.raw)
-    todo = pending(files.groupBy(*KEYS).agg(F.max("mtime").alias("mtime")), spark, at.of("signal"), force)
-    signal = read_pending(spark, files.join(todo, KEYS, "left_semi"))
-    if signal is not None:
+    files = cut_lineage(raw_files(spark, at.raw).withColumnRenamed("path", "input"))
+    todo = cut_lineage(pending(spark, at.manifest("signal"), files, force))
+    if not todo.isEmpty():
+        wanted = files.join(todo, KEYS, "left_semi")
+        signal = cleaned(read_raw(wanted.withColumnRenamed("input", "path")))
         write_stage(dedup_last(signal, [*KEYS, TIME], "file_pos", ties=True), at.of("signal"))
+        commit(spark, at.manifest("signal"), wanted, at.of("signal"))
     found = read_stage(spark, at.of("signal"))
     if found is None:
         raise ValueError(f"no recording with a known channel under {at.raw}")
@@ -64,33 +70,54 @@ def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict:
 
 
 def label(spark: SparkSession, at: Folders, signal: DataFrame, force: bool = False, rule: str = "parity") -> DataFrame:
-    ann = annotation_clean(annotations_of(spark, at, signal, True, rule), strict=True)
-    todo = pending(written_at(signal, F.max), spark, at.of("labeled"), force)
-    write_stage(interval_label(raw_semi(signal, todo, TIME), ann), at.of("labeled"))
+    """The signal with labels; recordings labelled from their present signal by the same rule are left alone."""
+    inputs = as_inputs(read_manifest(spark, at.manifest("signal")), rule)
+    todo = cut_lineage(pending(spark, at.manifest("labeled"), inputs, force))
+    if not todo.isEmpty():
+        ann = annotation_clean(annotations_of(spark, at, signal, True, rule), strict=True)
+        write_stage(interval_label(raw_semi(signal, todo, TIME), ann), at.of("labeled"))
+        commit(spark, at.manifest("labeled"), inputs.join(todo, KEYS, "left_semi"), at.of("labeled"))
     return read_stage(spark, at.of("labeled"))
 
 
+def features(spark: SparkSession, at: Folders, labeled: DataFrame, windows: list[int] | None = None, force: bool = False) -> DataFrame:
+    """Window features of all sizes, from one pass over the samples; recordings whose features follow from their
+    present labels are left alone. Sizes that were not asked for before make a stage of their own."""
+    windows = sorted(set(windows or [WINDOW]))
+    stage = "features-" + "-".join(str(w) for w in windows)
+    inputs = as_inputs(read_manifest(spark, at.manifest("labeled")), stage)
+    todo = cut_lineage(pending(spark, at.manifest(stage), inputs, force))
+    if not todo.isEmpty():
+        made = window_features(raw_semi(schema_fill(labeled), todo, TIME), windows)
+        write_stage(made, at.of(stage), "time")
+        commit(spark, at.manifest(stage), inputs.join(todo, KEYS, "left_semi"), at.of(stage))
+    return read_stage(spark, at.of(stage))
+
+
 def build_dataset(
     spark: SparkSession, at: Folders, labeled: DataFrame, window: int = WINDOW, include_raw: bool = True,
-    alignment: str = "trailing", version: str | None = None, force: bool = False,
+    alignment: str = "trailing", version: str | None = None, force: bool = False, windows: list[int] | None = None,
 ) -> DataFrame:
     """Features, raw context, label and keys, cached per setting and input version.
 
-    The version is worked out from the files of `labeled` unless one is given.
+    The version is worked out from the files of `labeled` unless one is given. The table is computed and written
+    once, whole; columns that are mostly null, by the footers of what was written, are then not read.
     """
     version = version or stage_version(labeled)
+
     def build() -> DataFrame:
-        rows = schema_fill(labeled)
-        feats = window_features(rows, [window])
+        feats = features(spark, at, labeled, windows or [window], force).where(F.col("window") == window)
         if not include_raw:
-            return assemble(feats, None, window)
+            return feats
         # one sample per time already, so the time itself orders the samples of a second
-        per_second = last_per_second(with_second(rows, TIME), TIME)
+        per_second = last_per_second(with_second(schema_fill(labeled), TIME), TIME)
         span_guard(record_bounds(per_second), strict=True).write.format("noop").mode("overwrite").save()
-        return assemble(feats, per_second, window, alignment)
+        return assemble(feats, per_second, window, alignment, prune=False)
 
+    held = {"time", "window", "idx", LABEL}
     return cached_stage(
-        spark, at.of("dataset"), build, window=window, include_raw=include_raw, alignment=alignment, version=version, force=force
+        spark, at.of("dataset"), build, window=window, include_raw=include_raw, alignment=alignment, version=version, force=force,
+        droppable=lambda shares: columns_to_drop({c: s for c, s in shares.items() if c not in held}),
     )
 
 
@@ -103,7 +130,8 @@ def evaluate(
     outer: int, inner: int, rule: str = "parity",
 ) -> DataFrame:
     """Nested cross-validation with event reports and summaries; returns the means per model."""
-    cv = M.nested_cv(dataset, feature_columns(dataset), models, outer, inner)
+    told_apart = f"{stage_version(dataset)}, {outer} x {inner}, {sorted(dataset.columns)}"
+    cv = M.nested_cv(dataset, feature_columns(dataset), models, outer, inner, store=Kept(spark, at.of("fits"), told_apart))
     notes = annotation_clean(annotations_of(spark, at, signal, False, rule), strict=False)
     ann = cut_lineage(generalization_offset(notes))
     reports, told = [], {}
@@ -149,9 +177,10 @@ def run_pipeline(
     signal = preprocess(spark, at, force)
     labeled = label(spark, at, signal, force, rule)
     models = models or {"gbt": M.build_models()["gbt"]}
+    windows = windows or [WINDOW]
     return {
-        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version, force=force), signal, models, outer, inner, rule)
-        for w in windows or [WINDOW]
+        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version, force=force, windows=windows), signal, models, outer, inner, rule)
+        for w in windows
     }
 
 

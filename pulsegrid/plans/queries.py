@@ -14,6 +14,8 @@ from pulsegrid.operators import cleaning, dataset, events, features, folds, grid
 from pulsegrid.plans import model_queries, views
 from pulsegrid.schema import CHANNELS, FEATURES, KEYS, TIME, WINDOW
 from pulsegrid.session import cut_lineage
+from pulsegrid.sources import manifest
+from pulsegrid.sources.tables import footer_null_share, parked
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -131,6 +133,23 @@ def incremental_skip(spark, sf):
     return cleaning.incremental_todo(records, done, ["record"])
 
 
+@query
+def manifest_pending(spark, sf):
+    """Recordings to be done again: each user's events of a kind stand for an input file. The manifest has an old
+    run of all users, and one of half of them; since then some files grew, some are new, some are gone."""
+    user, kind = F.col("user_id"), F.col("event_type")
+    files = views.events(spark, sf).groupBy(user, kind).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("mtime"))
+    named = files.select(
+        F.concat(F.lit("P"), (user % 10).cast("string")).alias("grp"), F.concat(F.lit("R"), user.cast("string")).alias("record"),
+        kind.alias("input"), F.col("n").alias("size"), "mtime", user.alias("_u"), F.lit("signal").alias("output"),
+    )
+    old = named.where("_u % 7 <> 0").withColumns({"size": F.lit(0).cast("long"), "run": F.lit("0001")})
+    new = named.where("_u % 2 = 0 and not (_u % 3 = 0 and input = 'click')").withColumn("run", F.lit("0002"))
+    now = named.withColumn("size", F.col("size") + (F.col("_u") % 5 == 0).cast("long")).where("not (_u % 11 = 0 and input = 'error')")
+    out = manifest.changed(now.drop("_u", "output"), old.unionByName(new).drop("_u"))
+    return out.select(*KEYS)
+
+
 # ---- annotations and labels ----
 
 @query
@@ -323,8 +342,9 @@ def pruned_dataset(spark, sf):
     out = views.dataset(spark, sf, "forward").withColumns(
         {"expiration_t-0": F.lit(1.0), "mostly_null": F.when(F.col("idx") % 3 == 0, F.col("HR_mean"))}
     )
-    out = dataset.prune_columns(out, [*FEATURES, "expiration_t-0", "mostly_null", *CONTEXT])
-    return rounded(out.drop("window", "idx"))
+    out, place = parked(out, "dataset")
+    shares = footer_null_share(spark, place, [*FEATURES, "expiration_t-0", "mostly_null", *CONTEXT])
+    return rounded(out.drop("window", "idx", *dataset.columns_to_drop(shares)))
 
 
 @query

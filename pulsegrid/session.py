@@ -43,19 +43,27 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` to the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own; a cluster without one is
     an error, since a machine-local folder would not survive a lost executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` to the shared folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-CHANNELS = ["heart_rate", "breathing_rate", "activity", "cadence"]
+from pulsegrid.schema import CHANNELS
 
 
 def random_signal(records=3, n=120, seed=1, gaps=True) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from pulsegrid.operators import models as M
 from pulsegrid.plans import pipeline as P
 from pulsegrid.sources import annotations as A
 from pulsegrid.sources import recordings as R
-from pulsegrid.sources import sinks, tables
+from pulsegrid.sources import manifest, sinks, tables
 
 
 def write(path: Path, text: str):
@@ -53,16 +53,47 @@ def test_mixed_headers_and_bad_files(spark, tmp_path):
     }
 
 
-def test_file_order_follows_the_file(spark, tmp_path):
-    write(tmp_path / "g/a.csv", "t,hr\n" + "".join(f"{i},{i}\n" for i in range(20_000)))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
-    try:
-        rows = R.read_layout(spark, [str(tmp_path / "g/a.csv")], "t,hr")
-        assert rows.rdd.getNumPartitions() > 3
-        assert [r.ticks for r in rows.orderBy("file_pos").collect()] == [float(i) for i in range(20_000)]
-        assert R.file_headers(spark, str(tmp_path)).collect()[0]["header"] == "t,hr"
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def test_ranges_cut_files_anywhere(spark, tmp_path):
+    text = "t,hr\n" + "".join(f"{i},{i}{' bpm' * (i % 3)}\n" for i in range(2000)) + "2000,7"  # no line end at the end
+    write(tmp_path / "g/a.csv", text)
+    write(tmp_path / "g/b.csv", "\ufefft,br,hr\r\n" + "".join(f"{i},1.5,{i}\r\n" for i in range(50)))
+    files = R.raw_files(spark, str(tmp_path))
+    for size in (7, 97, 4096, 1 << 20):
+        rows = R.read_raw(files, size).orderBy("record", "file_pos").collect()
+        a = [r for r in rows if r.record == "a"]
+        assert [r.ticks for r in a] == [str(i) for i in range(2001)] and a[-1].heart_rate == "7" and a[1].heart_rate == "1 bpm"
+        assert len({r.file_pos for r in a}) == 2001
+        assert [(r.ticks, r.heart_rate, r.breathing_rate, r.cadence) for r in rows if r.record == "b"] == [(str(i), str(i), "1.5", None) for i in range(50)]
+    spark.dataSource.register(R.RecordingSource)
+    source = spark.read.format("recordings").option("rangeBytes", 500).load(str(tmp_path))
+    assert source.count() == 2051 and source.columns == R.read_raw(files).columns
+
+
+def test_lines_of_any_width(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/a.csv").write_bytes(b'time;x,hr,"a ""b""",activity\n1,"60,5",x,2\n2,61\n\n3,62,y,4,more,cells\n4,\xff6,z,5\n')
+    rows = R.read_raw(R.raw_files(spark, str(tmp_path))).orderBy("file_pos").collect()
+    assert [(r.ticks, r.heart_rate, r.activity) for r in rows] == [("1", "60,5", "2"), ("2", "61", None), ("3", "62", "4"), ("4", "\ufffd6", "5")]
+
+
+def test_each_range_opens_its_file_once(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"raw/g/r{i}.csv", ("t,hr\n" if i else "clock,cad,hr\n") + "1,2,3\n" * 1000)
+    marks = str(tmp_path / "opened")
+    Path(marks).mkdir()
+
+    def opened(path):
+        import uuid
+        Path(marks, f"{Path(path).name}-{uuid.uuid4().hex}").touch()
+        return R.open_file(path)
+
+    files = R.raw_files(spark, str(tmp_path / "raw"))
+    raw = R.read_raw(files, 2000, opened)
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and "FileScan" not in plan  # whatever the layouts
+    assert R.cleaned(raw).count() == 3000
+    ranges = sum(-(-r["size"] // 2000) for r in files.collect())
+    assert len(list(Path(marks).iterdir())) == ranges == 12
 
 
 def test_annotation_texts(spark, tmp_path):
@@ -84,11 +115,8 @@ def test_stages(spark, tmp_path):
     place = str(tmp_path / "stage")
     assert tables.read_stage(spark, place) is None
     tables.write_stage(df.where("record = '000'"), place)
-    todo = tables.pending(df.select("grp", "record").distinct(), spark, place)
-    assert [r.record for r in todo.collect()] == ["001"]
     tables.write_stage(df.where("record = '001'"), place)
     assert tables.read_stage(spark, place).count() == 10
-    assert tables.pending(df.select("grp", "record").distinct(), spark, place, force=True).count() == 2
     calls = []
     for window in (15, 15, 30):
         tables.cached_stage(spark, str(tmp_path / "cache"), lambda: calls.append(1) or df, "time_elapsed", window=window)
@@ -102,6 +130,22 @@ def test_stages(spark, tmp_path):
     assert tables.stage_version(tables.read_stage(spark, place)) != first
 
 
+def test_null_counts_come_from_footers(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id % 3 as grp", "if(id % 4 = 0, null, id) as a", "cast(null as double) as `b-1`", "cast(id as string) as c")
+    place = str(tmp_path / "t")
+    df.repartition(5).write.partitionBy("grp").parquet(place)
+    assert tables.footer_counts(spark, place, ["a", "b-1", "c"]) == (1000, {"a": 750, "b-1": 0, "c": 1000})
+    assert tables.footer_null_share(spark, place, ["a"]) == {"a": 0.25}
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = tables.footer_plan(own.read.parquet(place), ["a", "b-1"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(a), COUNT(`b-1`)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert tables.footer_null_share(spark, str(tmp_path / "none"), ["a"]) == {"a": None}
+
+
 def test_whole_pipeline(spark, folders):
     spec = M.ModelSpec("gbt", lambda **p: GBTClassifier(maxIter=3, maxDepth=3, seed=1, **p), widths=[2, 4], thresholds=[0.4])
     broken = M.ModelSpec("broken", lambda **p: LogisticRegression(maxIter=-1, **p))
@@ -132,17 +176,48 @@ def test_whole_pipeline(spark, folders):
 def test_only_new_or_changed_files_are_opened(spark, tmp_path, monkeypatch):
     at = P.Folders(str(tmp_path / "raw"), str(tmp_path / "ann"), str(tmp_path / "work"))
     opened = []
-    headers = R.file_headers
-    monkeypatch.setattr(R, "file_headers", lambda spark, path, *a: opened.append([Path(p).name for p in path]) or headers(spark, path, *a))
+    read = P.read_raw
+    monkeypatch.setattr(P, "read_raw", lambda files: opened.append(sorted(Path(r.path).name for r in files.collect())) or read(files))
     write(tmp_path / "raw/p/a.csv", "t,hr\n0,1\n256,2\n")
     write(tmp_path / "raw/p/b.csv", "t,hr\n0,3\n")
     assert P.preprocess(spark, at).count() == 3
     write(tmp_path / "raw/p/c.csv", "t,hr\n0,4\n")
     assert P.preprocess(spark, at).count() == 4
-    write(tmp_path / "raw/p/b.csv", "t,hr\n0,5\n256,6\n")  # newer than its stage
+    write(tmp_path / "raw/p/b.csv", "t,hr\n0,5\n256,6\n")  # another file than the manifest knows
     assert P.preprocess(spark, at).count() == 5
     assert P.preprocess(spark, at).count() == 5
-    assert [sorted(o) for o in opened] == [["a.csv", "b.csv"], ["c.csv"], ["b.csv"]]
+    assert opened == [["a.csv", "b.csv"], ["c.csv"], ["b.csv"]]
+
+
+def test_a_broken_run_is_done_again(spark, tmp_path, monkeypatch):
+    at = P.Folders(str(tmp_path / "raw"), str(tmp_path / "ann"), str(tmp_path / "work"))
+    write(tmp_path / "raw/p/a.csv", "t,hr\n" + "".join(f"{256 * i},{i}\n" for i in range(40)))
+    write(tmp_path / "ann/a.txt", "onset,duration,description\n3,5,fbtcs\n")
+
+    def broken(*args):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:  # after the stage, before its manifest
+        m.setattr(P, "commit", broken)
+        with pytest.raises(OSError):
+            P.preprocess(spark, at)
+    assert manifest.read_manifest(spark, at.manifest("signal")) is None
+    signal = P.preprocess(spark, at)
+    runs = manifest.finished_runs(spark, at.manifest("signal"))
+    assert len(runs) == 1 and signal.count() == 40
+    Path(f"{runs[0].removeprefix('file:')}/_SUCCESS").unlink()  # in the middle of the manifest itself
+    assert manifest.finished_runs(spark, at.manifest("signal")) == []
+    signal = P.preprocess(spark, at)
+    labeled = P.label(spark, at, signal)
+    first = P.features(spark, at, labeled, [5, 10])
+    made = {p: p.stat().st_mtime_ns for p in Path(at.of("features-5-10")).rglob("*.parquet")}
+    assert first.where("window = 5").count() == 8 and first.where("window = 10").count() == 7
+    write(tmp_path / "raw/p/b.csv", "t,hr\n" + "".join(f"{256 * i},{i}\n" for i in range(10)))
+    write(tmp_path / "ann/b.txt", "onset,duration,description\n")
+    signal = P.preprocess(spark, at)
+    again = P.features(spark, at, P.label(spark, at, signal), [5, 10])
+    now = {p: p.stat().st_mtime_ns for p in Path(at.of("features-5-10")).rglob("*.parquet")}
+    assert made.items() <= now.items() and again.where("record = 'b'").count() == 3  # only the new recording
 
 
 def test_equal_places_in_two_files(spark):
@@ -152,6 +227,36 @@ def test_equal_places_in_two_files(spark):
         assert P.dedup_last(df.repartition(parts), ["grp", "record", "time_elapsed"], "file_pos", ties=True).first().heart_rate == 4.0
 
 
+def test_a_second_driver_goes_on_behind_the_third_fold(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"P{g}", f"R{g}", float(i), i, int(i % 5 == 0), float(rng.normal(i % 5 == 0)), float(rng.normal())) for g in range(10) for i in range(30)]
+    df = spark.createDataFrame(rows, "grp string, record string, time double, idx bigint, label int, a double, b double")
+    spec = M.ModelSpec("gbt", lambda **p: GBTClassifier(maxIter=2, maxDepth=2, seed=1, **p))
+    fits, whole = [], M.fit_pipeline
+
+    def counted(train, cols, spec, params=None):
+        if "inner" not in train.columns and sum(fits) == 3:
+            raise OSError("the driver is gone")
+        fits.append("inner" not in train.columns)
+        return whole(train, cols, spec, params)
+
+    run = lambda: M.nested_cv(df, ["a", "b"], {"gbt": spec}, 4, 2, store=tables.Kept(spark, str(tmp_path / "fits"), "v1"))
+    monkeypatch.setattr(M, "fit_pipeline", counted)
+    with pytest.raises(RuntimeError, match="the driver is gone"):
+        run()
+    assert sum(fits) == 3 and len(fits) == 3 + 4 * 2
+    monkeypatch.setattr(M, "fit_pipeline", lambda *a: fits.append(None) or whole(*a))
+    got = run()
+    assert fits.count(None) == 1  # the last outer fit alone
+    monkeypatch.setattr(M, "fit_pipeline", whole)
+    want = M.nested_cv(df, ["a", "b"], {"gbt": spec}, 4, 2)
+    order = ["fold", "record", "idx", "score", "pred"]
+    assert sorted(map(tuple, got.decided.select(*order).collect())) == sorted(map(tuple, want.decided.select(*order).collect()))
+    assert got.chosen.orderBy("fold").collect() == want.chosen.orderBy("fold").collect()
+    gains = lambda cv: sorted((r.model, r.fold, r.feature, round(r.importance, 9)) for r in cv.importances.collect())
+    assert gains(got) == gains(want)
+
+
 def test_final_model_round_trip(spark, folders):
     signal = P.preprocess(spark, folders)
     dataset = P.build_dataset(spark, folders, P.label(spark, folders, signal))
