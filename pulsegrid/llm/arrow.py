@@ -6,9 +6,11 @@ text stays whole), so that the temporary arrays of a task do not grow with the b
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.session import cut_lineage
+from pulsegrid import session
 
 SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -233,18 +235,44 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+_made: list[str] = []  # folders written by this driver that nothing has removed yet
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder for written tables, below the checkpoint folder that all machines share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        cut_lineage(spark.range(1))  # a local session without the setting gets its folder there
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{session.shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts the lineage, survives lost
-    executors, and gives later joins the real size."""
+    executors, and gives later joins the real size. It stays until `removed` or the end of the driver."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders written inside the block when it ends. What is to stay must be written elsewhere by then:
+    a table that is not computed yet cannot be read any more."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        _remove(spark, before)
+
+
+def _remove(spark: SparkSession, after: int = 0) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while len(_made) > after:
+        place = hadoop.Path(_made.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        _remove(spark)

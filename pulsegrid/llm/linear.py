@@ -90,10 +90,11 @@ def features(rows: DataFrame, bits: int, sizes: list[int], characters: list[int]
         first = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(bits))
         index = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("y"), lists_of(index, first, pa.int32()),
+            [batch.column("doc_id"), batch.column("y"), lists_of(index, first, pa.int32()),
              lists_of(value.astype(np.float32), first, pa.float32())], ["doc_id", "y", "idx", "val"])
 
-    return map_slices(rows, work, "doc_id long, y int, idx array<int>, val array<float>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_slices(rows, work, f"doc_id {kind}, y int, idx array<int>, val array<float>")
 
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[list], np.ndarray]) -> np.ndarray:
@@ -109,7 +110,7 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list], np.ndarray]) -> np.nd
         weights = fit([sample[i][1:] for i in order])
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary())], ["w"])
 
-    row = map_arrow(rows.coalesce(1), run, "w binary").first()
+    row = map_arrow(rows.repartition(1), run, "w binary").first()
     return np.frombuffer(bytes(row["w"]), dtype="<f8")
 
 
