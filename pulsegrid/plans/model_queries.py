@@ -51,6 +51,22 @@ def group_kfold(spark, sf):
     )
 
 
+@query
+def group_kfold_balanced(spark, sf):
+    """What holds for folds evened out by exchanges: all rows and groups are there once, and neither spread is above the dealt one's."""
+    rows = views.scored(spark, sf).drop("fold")
+    counts = cut_lineage(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(LABEL) == 1).cast("bigint")).alias("n_pos")))
+    spreads = []
+    for rule in (folds.dealt_folds, folds.balanced_folds):
+        placed = counts.join(rule(counts, 7, "record"), "record")
+        spreads.append((placed, *[max(t) - min(t) for t in folds.fold_totals(placed, 7)]))
+    (_, dealt_n, dealt_pos), (placed, n, pos) = spreads
+    return placed.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.countDistinct("record").alias("n_names"), F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"),
+        F.countDistinct("fold").alias("n_folds"), F.lit(n <= dealt_n and pos <= dealt_pos).alias("not_above"),
+    )
+
+
 @query
 def ml_pipeline(spark, sf):
     """The imputed and standardised features that a model fitted on all rows gets."""

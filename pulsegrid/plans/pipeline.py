@@ -24,7 +24,8 @@ from pulsegrid.operators.scoring import (
 )
 from pulsegrid.schema import EVENT_TYPE, FINAL_THRESHOLD, FINAL_WIDTH, KEYS, LABEL, TIME, WINDOW
 from pulsegrid.session import cut_lineage
-from pulsegrid.sources.annotations import read_annotations
+from pulsegrid.sources.annotations import bad_files, read_annotations, read_files
+from pulsegrid.sources.dead_letters import bad_ticks, failed_fits, files_without, split_annotations, write_letters
 from pulsegrid.sources.manifest import as_inputs, commit, pending, read_manifest
 from pulsegrid.sources.recordings import cleaned, raw_files, read_raw
 from pulsegrid.sources.sinks import save_model, write_reports, write_summary
@@ -44,16 +45,22 @@ class Folders:
         return f"{self.work}/manifests/{stage}"
 
 
-def preprocess(spark: SparkSession, at: Folders, force: bool = False) -> DataFrame:
+def preprocess(spark: SparkSession, at: Folders, force: bool = False, aside: bool = False) -> DataFrame:
     """CSV -> canonical signal, one row per (recording, time).
 
-    Recordings whose files are those of the manifest are left out before any file is opened.
+    Recordings whose files are those of the manifest are left out before any file is opened. `aside` notes lines
+    with a broken clock and files that give no row in the table of dead letters.
     """
     files = cut_lineage(raw_files(spark, at.raw).withColumnRenamed("path", "input"))
     todo = cut_lineage(pending(spark, at.manifest("signal"), files, force))
     if not todo.isEmpty():
         wanted = files.join(todo, KEYS, "left_semi")
-        signal = cleaned(read_raw(wanted.withColumnRenamed("input", "path")))
+        raw = read_raw(wanted.withColumnRenamed("input", "path"))
+        if aside:
+            raw = cut_lineage(raw)
+            silent = wanted.join(raw.select(*KEYS).distinct(), KEYS, "left_anti").withColumnRenamed("input", "path")
+            write_letters(at.of("dead_letters"), bad_ticks(raw), files_without(silent, "no known channel, or no rows"))
+        signal = cleaned(raw)
         write_stage(dedup_last(signal, [*KEYS, TIME], "file_pos", ties=True), at.of("signal"))
         commit(spark, at.manifest("signal"), wanted, at.of("signal"))
     found = read_stage(spark, at.of("signal"))
@@ -62,19 +69,25 @@ def preprocess(spark: SparkSession, at: Folders, force: bool = False) -> DataFra
     return found
 
 
-def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict: bool, rule: str) -> DataFrame:
-    """Annotations with the recording they belong to."""
-    notes = read_annotations(spark, at.annotations, strict=strict)
+def annotations_of(spark: SparkSession, at: Folders, signal: DataFrame, strict: bool, rule: str, aside: bool = False) -> DataFrame:
+    """Annotations with the recording they belong to. `aside` puts lines and files that cannot be used in the table of
+    dead letters, where `strict` would end the run."""
+    notes = read_annotations(spark, at.annotations, strict=strict and not aside)
+    if aside:
+        notes, bad = split_annotations(notes)
+        write_letters(at.of("dead_letters"), bad, files_without(bad_files(read_files(spark, at.annotations)), "no annotation header"))
     joined = record_annotations(signal.select(*KEYS).distinct(), notes, rule=rule).where(F.col("ann_key").isNotNull())
     return event_type_filter(joined, EVENT_TYPE)
 
 
-def label(spark: SparkSession, at: Folders, signal: DataFrame, force: bool = False, rule: str = "parity") -> DataFrame:
+def label(
+    spark: SparkSession, at: Folders, signal: DataFrame, force: bool = False, rule: str = "parity", aside: bool = False
+) -> DataFrame:
     """The signal with labels; recordings labelled from their present signal by the same rule are left alone."""
     inputs = as_inputs(read_manifest(spark, at.manifest("signal")), rule)
     todo = cut_lineage(pending(spark, at.manifest("labeled"), inputs, force))
     if not todo.isEmpty():
-        ann = annotation_clean(annotations_of(spark, at, signal, True, rule), strict=True)
+        ann = annotation_clean(annotations_of(spark, at, signal, True, rule, aside), strict=True)
         write_stage(interval_label(raw_semi(signal, todo, TIME), ann), at.of("labeled"))
         commit(spark, at.manifest("labeled"), inputs.join(todo, KEYS, "left_semi"), at.of("labeled"))
     return read_stage(spark, at.of("labeled"))
@@ -127,11 +140,13 @@ def feature_columns(dataset: DataFrame) -> list[str]:
 
 def evaluate(
     spark: SparkSession, at: Folders, dataset: DataFrame, signal: DataFrame, models: dict[str, M.ModelSpec],
-    outer: int, inner: int, rule: str = "parity",
+    outer: int, inner: int, rule: str = "parity", aside: bool = False,
 ) -> DataFrame:
     """Nested cross-validation with event reports and summaries; returns the means per model."""
     told_apart = f"{stage_version(dataset)}, {outer} x {inner}, {sorted(dataset.columns)}"
     cv = M.nested_cv(dataset, feature_columns(dataset), models, outer, inner, store=Kept(spark, at.of("fits"), told_apart))
+    if aside and cv.failures:
+        write_letters(at.of("dead_letters"), failed_fits(spark, cv.failures))
     notes = annotation_clean(annotations_of(spark, at, signal, False, rule), strict=False)
     ann = cut_lineage(generalization_offset(notes))
     reports, told = [], {}
@@ -173,13 +188,16 @@ def evaluate(
 def run_pipeline(
     spark: SparkSession, at: Folders, windows: list[int] | None = None, outer: int = 7, inner: int = 6,
     models: dict[str, M.ModelSpec] | None = None, force: bool = False, rule: str = "parity", version: str | None = None,
+    aside: bool = False,
 ) -> dict[int, DataFrame]:
-    signal = preprocess(spark, at, force)
-    labeled = label(spark, at, signal, force, rule)
+    """Everything, per window size. `aside`: what cannot be used goes to the table of dead letters, with a reason, and the
+    run goes on."""
+    signal = preprocess(spark, at, force, aside)
+    labeled = label(spark, at, signal, force, rule, aside)
     models = models or {"gbt": M.build_models()["gbt"]}
     windows = windows or [WINDOW]
     return {
-        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version, force=force, windows=windows), signal, models, outer, inner, rule)
+        w: evaluate(spark, at, build_dataset(spark, at, labeled, w, version=version, force=force, windows=windows), signal, models, outer, inner, rule, aside)
         for w in windows
     }
 

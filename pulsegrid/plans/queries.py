@@ -14,6 +14,7 @@ from pulsegrid.operators import cleaning, dataset, events, features, folds, grid
 from pulsegrid.plans import model_queries, views
 from pulsegrid.schema import CHANNELS, FEATURES, KEYS, TIME, WINDOW
 from pulsegrid.session import cut_lineage
+from pulsegrid.sources import dead_letters as letters
 from pulsegrid.sources import manifest
 from pulsegrid.sources.tables import footer_null_share, parked
 
@@ -171,6 +172,19 @@ def annotation_clean(spark, sf):
     return rounded(labeling.annotation_clean(text, strict=False))
 
 
+@query
+def dead_letters(spark, sf):
+    """The annotation lines that cannot be labelled with, each with its reason; some are broken on purpose."""
+    ann = views.annotations(views.signal(spark, sf))
+    pos = F.col("ann_pos")
+    notes = ann.select(
+        F.col("record").alias("ann_key"), "ann_pos", "description",
+        F.when(pos % 10 == 0, "n/a").when(pos % 13 == 0, "").otherwise(F.col("onset").cast("string")).alias("onset"),
+        F.when(pos % 7 == 0, "?").when(pos % 11 != 0, F.col("duration").cast("string")).alias("duration"),
+    )
+    return letters.split_annotations(notes)[1]
+
+
 @query
 def record_annotations(spark, sf):
     sig = views.signal(spark, sf)

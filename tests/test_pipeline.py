@@ -220,6 +220,25 @@ def test_a_broken_run_is_done_again(spark, tmp_path, monkeypatch):
     assert made.items() <= now.items() and again.where("record = 'b'").count() == 3  # only the new recording
 
 
+def test_what_cannot_be_used_is_put_aside(spark, tmp_path):
+    at = P.Folders(str(tmp_path / "raw"), str(tmp_path / "ann"), str(tmp_path / "work"))
+    write(tmp_path / "raw/p/a.csv", "t,hr\n" + "".join(f"{256 * i if i != 7 else 'late'},{i}\n" for i in range(40)))
+    write(tmp_path / "raw/p/none.csv", "t,spo2\n0,99\n")
+    write(tmp_path / "ann/a.txt", "onset,duration,description\n3,5,fbtcs\nsoon,5,fbtcs\n9,,fbtcs\n")
+    write(tmp_path / "ann/b.txt", "nothing here\n")
+    with pytest.raises(Exception, match="no annotation header"):
+        P.label(spark, at, P.preprocess(spark, at))
+    P.preprocess(spark, at, force=True, aside=True)
+    labeled = P.label(spark, at, P.preprocess(spark, at), aside=True)
+    assert labeled.where("label = 1").count() == 4  # the line with the broken clock has no second
+    P.write_letters(at.of("dead_letters"), P.failed_fits(spark, {"svm": "too few rows"}))
+    got = {(r.kind, Path(r.place).name, r.reason) for r in spark.read.parquet(at.of("dead_letters")).collect()}
+    assert got == {
+        ("row", "a", "clock is not a number"), ("file", "none.csv", "no known channel, or no rows"), ("row", "a", "onset is not a number"),
+        ("row", "a", "no duration"), ("file", "b.txt", "no annotation header"), ("fit", "svm", "too few rows"),
+    }
+
+
 def test_equal_places_in_two_files(spark):
     rows = [("P", "r", 0.0, 7, float(i % 5), None) for i in range(20)]
     df = spark.createDataFrame(rows, "grp string, record string, time_elapsed double, file_pos bigint, heart_rate double, activity double")
