@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by weighted transducers.
 
-The normaliser (dummy prefix, visible spaces), the pieces (a trie whose final states write ids) and
-the byte fallback are compiled once. Composing them with a text gives a lattice whose arcs are
+The normaliser (a trie of what the file's character map rewrites, whose final states write the result; dummy prefix,
+visible spaces), the pieces (a trie whose final states write ids) and the byte fallback are compiled once. Composing them with a text gives a lattice whose arcs are
 pieces; the encoding is its shortest path in the tropical semiring. For unigram files an arc weighs
 minus the piece's score. For merge files (BPE) the weights sit on pairs of arcs: 0 if two pieces
 stay apart when the merges are applied to them side by side, infinite if a merge reaches across. One
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from pulsegrid.llm.arrow import append_columns, lists_of
+from pulsegrid.llm.normaliser import Normaliser
 from pulsegrid.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceTrie, Table, Vocabulary, code_points, ragged, unknown_score
 
 MEMO_CHARS = 4 << 20  # characters of distinct parts that a task remembers
@@ -108,6 +109,14 @@ class MergePairs:
         return good[inverse]
 
 
+def merge_pairs(v: Vocabulary, ids: dict[str, int]) -> tuple[MergePairs, dict[str, int]]:
+    """The pair weights of a merge file, and the pieces that merging can make."""
+    order = sorted((p for p in ids if len(p) > 1), key=lambda p: -v.scores[ids[p]])
+    if any(p.startswith(SPACE * 2) for p in ids) or len({v.scores[ids[p]] for p in order}) < len(order):
+        raise ValueError("merges of equal rank, or that join spaces to words, are not supported")
+    return MergePairs.build(ids, {p: i for i, p in enumerate(order)}, len(v.pieces))
+
+
 @dataclass
 class Encoder:
     """The compiled transducers, and the encodings of the parts a task has met."""
@@ -123,17 +132,13 @@ class Encoder:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("pieces with a space behind another character are not supported")
         if v.merges:
-            ids = {p: i for p, i in ids.items() if i not in self.runs.values()}
-            order = sorted((p for p in ids if len(p) > 1), key=lambda p: -v.scores[ids[p]])
-            if any(p.startswith(SPACE * 2) for p in ids) or len({v.scores[ids[p]] for p in order}) < len(order):
-                raise ValueError("merges of equal rank, or that join spaces to words, are not supported")
-            rank = {p: i for i, p in enumerate(order)}
-            self.pairs, ids = MergePairs.build(ids, rank, len(v.pieces))
+            self.pairs, ids = merge_pairs(v, {p: i for p, i in ids.items() if i not in self.runs.values()})
             self.part = re.compile(f"{SPACE}[^{SPACE}]*|[^{SPACE}]+")
         else:
             self.pairs = None
             self.part = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.trie = PieceTrie(ids)
+        self.normalise = Normaliser(v)
         self.unknown_score = unknown_score(v)
         self.bytes = v.byte_ids()
         self._forget()
@@ -142,12 +147,6 @@ class Encoder:
         self.memo.clear()
         self.flat, self.first, self.chars = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
-    def normalise(self, text: str) -> str:
-        text = text.replace(" ", SPACE)
-        if self.vocabulary.squeeze:
-            text = re.sub(f"{SPACE}+", SPACE, text).strip(SPACE)
-        return SPACE + text if text and self.vocabulary.dummy_prefix else text
-
     def lattice(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first character, length, piece) of every arc; -1 is the fallback over one character without a piece."""
         stop = np.repeat(offsets[1:], np.diff(offsets))
@@ -243,7 +242,7 @@ class Encoder:
         """(ids of all texts, offsets)."""
         if self.chars > MEMO_CHARS:
             self._forget()
-        split = [self.part.findall(self.normalise(t)) for t in texts]
+        split = [self.part.findall(t) for t in self.normalise(texts)]
         parts = [p for s in split for p in s]
         new = [p for p in dict.fromkeys(parts) if p not in self.memo]
         if new:

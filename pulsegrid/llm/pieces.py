@@ -20,6 +20,7 @@ class Vocabulary:
     dummy_prefix: bool
     squeeze: bool  # runs of spaces count as one
     byte_fallback: bool
+    character_map: bytes = b""  # the file's compiled map, for the normaliser
 
     @property
     def unknown(self) -> int:
@@ -41,11 +42,12 @@ def load_vocabulary(path: str) -> Vocabulary:
         model.ParseFromString(f.read())
     kinds = np.array([p.type for p in model.pieces])
     norm, trainer = model.normalizer_spec, model.trainer_spec
-    if norm.precompiled_charsmap or not norm.escape_whitespaces or trainer.treat_whitespace_as_suffix or (kinds == USER).any():
-        raise ValueError("character maps, plain or trailing spaces and user-defined pieces are not supported")
+    if not norm.escape_whitespaces or trainer.treat_whitespace_as_suffix or (kinds == USER).any():
+        raise ValueError("plain or trailing spaces and user-defined pieces are not supported")
     return Vocabulary(
         [p.piece for p in model.pieces], np.array([p.score for p in model.pieces], dtype=np.float32), kinds,
         trainer.model_type == 2, norm.add_dummy_prefix, norm.remove_extra_whitespaces, trainer.byte_fallback,
+        norm.precompiled_charsmap,
     )
 
 
