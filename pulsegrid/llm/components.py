@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from pulsegrid.session import cut_lineage
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of `edges` (a, b); root is the smallest id of the component.
 
     Every id points to its smallest neighbour or itself; links are then redrawn between the ids
-    pointed at, which at least halves the ids that still have links, and the pointers are composed.
-    Tables are checkpointed, so a hot id is a plain skewed join that AQE can split.
+    pointed at, which at least halves the ids that still have links, and the pointers are composed at the end.
+    Tables are checkpointed, so a hot id is a plain skewed join that AQE can split. Joins are merges: what these
+    tables hold has no bound that would let one side be sent to all tasks.
     """
-    live = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
+    live, steps = cut_lineage(_ordered(edges)), []
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         step = cut_lineage(both.groupBy(F.col("a").alias("from")).agg(F.least("from", F.min("b")).alias("to")))
-        if roots is None:
-            roots = step.select(F.col("from").alias("id"), F.col("to").alias("root"))
-        else:
-            roots = roots.join(step, F.col("root") == F.col("from"), "left").select("id", F.coalesce("to", "root").alias("root"))
-        roots = cut_lineage(roots)
-        left = live.join(step, F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
-        moved = left.join(step, F.col("b") == F.col("from")).select("a", F.col("to").alias("b")).where("a <> b")
-        live = cut_lineage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if roots is None:
+        steps.append(step)
+        left = live.join(step.hint("merge"), F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
+        moved = left.join(step.hint("merge"), F.col("b") == F.col("from")).select("a", F.col("to").alias("b"))
+        live = cut_lineage(_ordered(moved))
+    if not steps:
         return live.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots
+    roots = steps[0].select(F.col("from").alias("id"), F.col("to").alias("root"))
+    for step in steps[1:]:
+        roots = roots.join(step.hint("merge"), F.col("root") == F.col("from"), "left").select("id", F.coalesce("to", "root").alias("root"))
+    return cut_lineage(roots) if steps[1:] else roots

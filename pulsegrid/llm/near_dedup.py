@@ -2,13 +2,13 @@
 
 A signature is 32 values of 16 bits, in 8 chunks of 4. Two signatures that differ in at most 15 values differ, by the
 pigeonhole principle, in at most one value of some chunk. Each chunk is therefore filed under its 4 keys with
-one value left out: whatever the one error is, the two share a key. No pair under that distance is missed.
+one value left out: whatever the one error is, the two share a key. No pair under that distance is missed. A longer
+sketch decides which of the pairs are worth comparing, and links are confirmed on whole sets.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.arrow import SPACED_FOLDED_WORDS, group_starts, lists_of, map_arrow, map_slices, mix, whole_groups, written
-from pulsegrid.llm.bloom import bloom_filter, known
+from pulsegrid.llm.arrow import SPACED_FOLDED_WORDS, map_slices, mix, written
+from pulsegrid.llm.candidates import Clusters, shared_buckets, sketches, sketches_alike
 from pulsegrid.llm.components import components
-from pulsegrid.llm.ngram_join import TokenSets
+from pulsegrid.llm.exact_links import links_inside
+from pulsegrid.llm.token_sets import TokenSets
 from pulsegrid.session import cut_lineage
 
 LANES = 4  # values of 16 bits in a chunk, which is one long
@@ -28,13 +29,14 @@ CHUNKS = 8
 
 @dataclass(frozen=True)
 class Nearness:
-    """Sets of `n`-word shingles are linked at `similarity` percent. `small` buckets are compared as they are;
-    `stars` rounds look at all buckets from one member each before that."""
+    """Sets of `n`-word shingles are linked at `similarity` percent."""
 
     n: int = 2
     similarity: int = 80
-    small: int = 128
-    stars: int = 2
+    small: int = 2048  # buckets up to this size are compared at once
+    bins: int = 128  # bytes of the longer sketch
+    slack: float = 0.16  # by which a sketch may estimate a linked pair below the similarity, 4.5 standard deviations
+    block: int = 192  # sets compared in one group
 
     @property
     def radius(self) -> int:
@@ -58,17 +60,19 @@ def _minima(sets: TokenSets) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, plan: Nearness) -> DataFrame:
-    """(doc_id, k1, k2, n, c0 .. c7): the name of each document's set, its size, and the signature."""
+    """(doc_id, k1, k2, n, c0 .. c7, sketch): the name of each document's set, its size, the signature by chunk, and
+    the whole signature with a longer sketch behind it."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = TokenSets(batch.column("text"), plan.n, SPACED_FOLDED_WORDS)
         k1, k2 = sets.names()
         chunks = _minima(sets)
+        sketch = [a.tobytes() + b.tobytes() for a, b in zip(chunks, sketches(sets, plan.bins))]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sets.size, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in chunks.T]],
-            ["doc_id", "k1", "k2", "n", *_CHUNK_NAMES])
+            [batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sets.size, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in chunks.T], pa.array(sketch, pa.binary())],
+            ["doc_id", "k1", "k2", "n", *_CHUNK_NAMES, "sketch"])
 
-    return map_slices(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in _CHUNK_NAMES))
+    return map_slices(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, " + ", ".join(f"{c} long" for c in _CHUNK_NAMES) + ", sketch binary")
 
 
 _CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
@@ -82,185 +86,41 @@ def _without(chunk: Column, lanes: tuple[int, ...]) -> Column:
     return chunk.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
+def _keys(errors: int) -> Column:
+    """(key, chunk): each chunk with `errors` of its values left out, in all ways."""
+    return F.array(*[
+        F.struct(F.xxhash64(F.lit(f"{i} {out}"), _without(F.col(c), out)).alias("key"), F.lit(i).alias("chunk"))
+        for i, c in enumerate(_CHUNK_NAMES) for out in itertools.combinations(range(LANES), errors)
+    ])
+
+
 def chunk_keys() -> Column:
-    """The keys of one error: each chunk with each of its values left out."""
-    return F.array(*[F.xxhash64(F.lit(LANES * i + lane), _without(F.col(c), (lane,))) for i, c in enumerate(_CHUNK_NAMES) for lane in range(LANES)])
-
-
-def pair_keys() -> Column:
-    """The keys of three errors in chunks of double length: 15 errors in 4 such chunks leave one with at
-    most 3. Eight values with three left out, in all ways: 224 keys."""
-    keys = []
-    for i in range(0, CHUNKS, 2):
-        for out in itertools.combinations(range(2 * LANES), 3):
-            low = _without(F.col(_CHUNK_NAMES[i]), tuple(x for x in out if x < LANES))
-            high = _without(F.col(_CHUNK_NAMES[i + 1]), tuple(x - LANES for x in out if x >= LANES))
-            keys.append(F.xxhash64(F.lit(100 + len(keys)), low, high))
-    return F.array(*keys)
-
-
-def distance(left: str, right: str) -> Column:
-    """In how many values two signatures differ."""
-
-    def differing(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 8))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 4))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-
-    return sum((differing(F.col(f"{left}.{c}"), F.col(f"{right}.{c}")) for c in _CHUNK_NAMES), F.lit(0))
-
-
-def sized_alike(a: Column, b: Column, similarity: int) -> Column:
-    return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
-
-
-class Confirmed:
-    """The links confirmed so far, and the component they put each set into."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, plan: Nearness):
-        self.docs, self.reps, self.plan = docs, reps, plan
-        self.links: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def label(self, rows: DataFrame) -> DataFrame:
-        """`rows` (with rid) and the `label` of the component."""
-        if self.roots is None:
-            return rows.withColumn("label", F.col("rid"))
-        return rows.join(self.roots, F.col("rid") == F.col("id"), "left").withColumn("label", F.coalesce("root", "rid")).drop("id", "root")
-
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs (a, b) of sets: near by signature, then on the sets themselves."""
-        sides = self.reps.select("rid", "n", *_CHUNK_NAMES)
-        near = pairs.join(sides.select(F.col("rid").alias("a"), F.struct("n", *_CHUNK_NAMES).alias("x")), "a")
-        near = near.join(sides.select(F.col("rid").alias("b"), F.struct("n", *_CHUNK_NAMES).alias("y")), "b")
-        near = near.where(sized_alike(F.col("x.n"), F.col("y.n"), self.plan.similarity) & (distance("x", "y") <= self.plan.radius))
-        near = cut_lineage(near.select("a", "b"))
-        if near.isEmpty():
-            return
-        wanted = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        sets = written(shingle_sets(self.docs, wanted.join(self.reps.select("rid", "k1", "k2", "first_doc"), "rid"), self.plan), "sets")
-        both = near.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        linked = both.where(100 * common >= self.plan.similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-        linked = cut_lineage(linked if self.links is None else linked.unionByName(self.links))
-        self.links, self.roots = linked, components(linked)
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, plan: Nearness) -> DataFrame:
-    """(rid, set) of the sets in `wanted` (rid, k1, k2, first_doc): their texts are read again, picked
-    by a Bloom filter of the documents' ids, and only sets of picked texts are made and shuffled."""
-    wanted = cut_lineage(wanted)
-    mixed = F.xxhash64(F.col("first_doc")).alias("hash")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(mixed), wanted.count()))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        batch = batch.filter(pa.array(known(shared.value, batch.column("hash").to_numpy().view(np.uint64))))
-        if not batch.num_rows:
-            return None
-        sets = TokenSets(batch.column("text"), plan.n, SPACED_FOLDED_WORDS)
-        k1, k2 = sets.names()
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), pa.array(k2), lists_of(sets.token.view(np.int64), sets.first, pa.int64())], ["first_doc", "k1", "k2", "set"])
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
-    made = map_slices(rows, work, f"first_doc {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, set array<long>")
-    return made.join(wanted, ["k1", "k2", "first_doc"]).dropDuplicates(["rid"]).select("rid", "set")
-
-
-def mixed_nodes(nodes: DataFrame) -> DataFrame:
-    """The rows of those buckets whose members are in different components yet, with a `center`: a member of
-    the component with the largest label."""
-    tops = nodes.groupBy("node").agg(F.min("label").alias("_low"), F.max(F.struct("label", "rid")).alias("center"))
-    tops = tops.where(F.col("_low") < F.col("center.label")).drop("_low")
-    return nodes.join(tops, "node")
-
-
-def cross_pairs(rows: DataFrame, plan: Nearness) -> DataFrame:
-    """(a, b): pairs of near signatures inside a group (node, part) whose components differ."""
-    keys = ["node", "part"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
-            starts = group_starts(table, keys)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            rid, label, n = (table.column(c).to_numpy() for c in ("rid", "label", "n"))
-            chunks = np.stack([table.column(c).to_numpy() for c in _CHUNK_NAMES], axis=1)
-            for gap in range(1, len(rid)):
-                i = np.flatnonzero(group[:-gap] == group[gap:])
-                if not len(i):
-                    break
-                i = i[(label[i] != label[i + gap]) & (100 * np.minimum(n[i], n[i + gap]) >= plan.similarity * np.maximum(n[i], n[i + gap]))]
-                near = ((chunks[i] ^ chunks[i + gap]).view(np.uint16) != 0).sum(axis=1) <= plan.radius
-                a, b = rid[i[near]], rid[i[near] + gap]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    dealt = rows.select(*keys, "rid", "label", "n", *_CHUNK_NAMES).repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, run, "a long, b long")
-
-
-def parted(nodes: DataFrame, plan: Nearness) -> tuple[DataFrame, DataFrame]:
-    """Buckets in groups of bounded size that together hold every pair of different components, and the
-    rows of large buckets without a component that has half of them.
-
-    Members of the largest component of a large bucket are dealt into parts, and all others are copied to each part;
-    pairs among those of the component itself need no comparison.
-    """
-    counts = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("_c"))
-    facts = counts.groupBy("node").agg(F.sum("_c").alias("_size"), F.max(F.struct("_c", "label")).alias("_major"))
-    rows = nodes.join(facts, "node")
-    parts = F.ceil(F.col("_size") / plan.small)
-    own = F.pmod(F.xxhash64("rid"), parts)
-    kept = rows.where((F.col("_size") <= plan.small) | (2 * F.col("_major._c") >= F.col("_size")))
-    where = F.when(F.col("label") == F.col("_major.label"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
-    kept = kept.withColumn("part", F.explode(F.when(F.col("_size") <= plan.small, F.array(F.lit(0).cast("long"))).otherwise(where)))
-    return kept.select("node", "rid", "label", "part"), rows.where((F.col("_size") > plan.small) & (2 * F.col("_major._c") < F.col("_size"))).select("node", "rid", "label", "_size")
-
-
-def in_pairs_of_blocks(rows: DataFrame, plan: Nearness) -> DataFrame:
-    """Members of large buckets of many components, copied to each pair of blocks they take part in."""
-    blocks = F.ceil(F.col("_size") / plan.small)
-    own = F.pmod(F.xxhash64("rid", "node"), blocks)
-    spread = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return spread.select("node", "rid", "label", (F.least("_own", "_other") * blocks + F.greatest("_own", "_other")).alias("part"))
-
-
-def shared_keys(reps: DataFrame, keys: Column) -> DataFrame:
-    """(node, rid) of the keys that two sets at least have."""
-    nodes = reps.select("rid", F.explode(keys).alias("node"))
-    several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node")
-    return written(nodes.join(several, "node"), "buckets")
-
-
-def link_near(docs: DataFrame, reps: DataFrame, plan: Nearness) -> DataFrame | None:
-    """(id, root) of all sets that confirmed links put into components with others; None if there are none.
-
-    First every bucket is seen from one member at a time, which has met all others then and leaves the
-    bucket; a group of copies is one component after that, at the cost of a comparison per member. Then
-    what buckets still hold of different components is compared, in parts of bounded size. Large buckets of many
-    components, such as a common passage makes, are dealt anew by longer keys, and only what is large even
-    then is compared in pairs of blocks.
-    """
-    found = Confirmed(docs, reps, plan)
-    buckets = shared_keys(reps, chunk_keys())
-    for _ in range(plan.stars):
-        live = cut_lineage(mixed_nodes(found.label(buckets)))
-        met = live.where(F.col("label") != F.col("center.label"))
-        found.add(met.select(F.least("rid", "center.rid").alias("a"), F.greatest("rid", "center.rid").alias("b")).distinct())
-        buckets = live.where(F.col("rid") != F.col("center.rid")).select("node", "rid")
-    facts = reps.select("rid", "n", *_CHUNK_NAMES)
-    groups, crowds = parted(cut_lineage(mixed_nodes(found.label(buckets)).drop("center")), plan)
-    pairs = cross_pairs(groups.join(facts, "rid"), plan)
-    crowded = cut_lineage(crowds.select("rid").distinct())
-    if not crowded.isEmpty():
-        finer = shared_keys(reps.join(crowded, "rid", "left_semi"), pair_keys())
-        groups, crowds = parted(cut_lineage(mixed_nodes(found.label(finer)).drop("center")), plan)
-        groups = groups.unionByName(in_pairs_of_blocks(crowds, plan))
-        pairs = pairs.unionByName(cross_pairs(groups.join(facts, "rid"), plan))
-    found.add(pairs.distinct())
-    return found.roots
+    """The keys of at most one error in a chunk: 32."""
+    return _keys(1)
+
+
+def second_keys() -> Column:
+    """The keys of at most two errors in a chunk: 48."""
+    return _keys(2)
+
+
+def clusters(reps: DataFrame, plan: Nearness) -> Clusters:
+    """The clusters of candidates. Crowds, such as a common passage makes, are dealt anew inside their bucket by a second chunk:
+    of 15 errors the other 7 chunks have the rest, so that one of them has at most two."""
+    def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        cut = 2 * CHUNKS * LANES  # the signature, then a longer sketch
+        differing = (x[:, :cut].copy().view(np.uint16) != y[:, :cut].copy().view(np.uint16)).sum(axis=1)
+        near = differing <= plan.radius
+        near[near] = sketches_alike(n[near], m[near], x[near, cut:], y[near, cut:], plan.similarity, plan.slack)
+        return near
+
+    found = Clusters(reps.select("rid", "n", "sketch"), alike, plan.small)
+    keys = reps.select("rid", F.explode(chunk_keys()).alias("k")).select(F.col("k.key").alias("node"), "rid", F.col("k.chunk").alias("chunk"))
+    crowds = found.look(shared_buckets(keys))
+    if crowds is not None:
+        again = crowds.join(reps.select("rid", *_CHUNK_NAMES), "rid").withColumn("k", F.explode(second_keys()))
+        found.look(shared_buckets(again.where("k.chunk <> chunk").select(F.xxhash64("node", "k.key").alias("node"), "rid")), last=True)
+    return found
 
 
 def near_duplicates(docs: DataFrame, plan: Nearness = Nearness()) -> DataFrame:
@@ -269,8 +129,9 @@ def near_duplicates(docs: DataFrame, plan: Nearness = Nearness()) -> DataFrame:
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a document's set holds its distinct runs of `n` words, or all
     its words as one if there are fewer. Documents are linked if 100 * common >= similarity * all shingles of the
     two; `component_id` is the smallest doc_id that links lead to, `kept` says that it is the document's own.
-    Every link returned was confirmed on whole sets. A link is missed only if 16 of 32 signature values differ, for
-    which a pair at similarity 0.8 has a chance of 1 in 10,000, and rarer the more alike it is.
+    Every link was confirmed on whole sets. One is missed only if 16 of 32 signature values differ, for
+    which a pair at similarity 0.8 has a chance of 1 in 10,000, and rarer the more alike it is, or if the sketch is 4.5
+    standard deviations off.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Documents with equal sets
     are one vertex. Rows that repeat a doc_id are documents of their own with one id. A row without a doc_id
@@ -278,12 +139,12 @@ def near_duplicates(docs: DataFrame, plan: Nearness = Nearness()) -> DataFrame:
     """
     facts = written(signatures(docs, plan), "signatures")
     named = facts.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in _CHUNK_NAMES])
+    firsts = [F.first(c).alias(c) for c in (*_CHUNK_NAMES, "sketch")]
+    reps = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *firsts)
     reps = written(reps.withColumn("rid", F.monotonically_increasing_id()), "sets-named")
-    roots = link_near(docs, reps, plan)
-    classes = reps.select("k1", "k2", "n", "rid", "first_doc")
-    classes = classes.withColumn("root", F.col("rid")) if roots is None else classes.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    classes = cut_lineage(classes)
+    exact = links_inside(docs, reps, clusters(reps, plan), plan.n, SPACED_FOLDED_WORDS, plan.similarity, plan.block)
+    roots = components(exact.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rid")
+    classes = cut_lineage(reps.select("k1", "k2", "n", "rid", "first_doc").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
     lowest = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = cut_lineage(classes.join(lowest, "root").select("k1", "k2", "n", "component_id"))
     linked = named.join(classes, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -1,15 +1,15 @@
 """N-gram Jaccard join by chosen paths (Christiani, Pagh, Sivertsen: set similarity join by recursion).
 
 Documents are sets of word n-grams. Each run sends a set to buckets named by sampled tokens; two
-sets that share a token sample it together. Buckets that stay large are split by further tokens;
-the rest is compared by sketches inside the bucket. The sets of the candidate clusters that come
-out are then compared exactly.
+sets that share a token sample it together. Every bucket is first seen from one member: sets whose sketches are
+alike become one cluster of candidates, once for all buckets and runs. What a bucket still holds of different
+clusters is compared by sketches if the bucket is small, and split by further tokens if it is large. Links are then
+counted exactly inside the clusters.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,31 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.arrow import FOLDED_WORDS, Words, group_starts, lists_of, map_arrow, map_slices, mix, whole_groups, written
+from pulsegrid.llm.arrow import FOLDED_WORDS, lists_of, map_slices, written
+from pulsegrid.llm.candidates import Clusters, shared_buckets, sketches, sketches_alike
 from pulsegrid.llm.components import components
-from pulsegrid.llm.line_dedup import places
+from pulsegrid.llm.exact_links import links_inside
+from pulsegrid.llm.token_sets import TokenSets
 from pulsegrid.session import cut_lineage
 
-TOKEN_BITS = 52  # of a hashed n-gram; the rest of the word numbers the texts of a slice
-FILTER_WORDS = 1 << 21
-
 
 @dataclass(frozen=True)
 class Join:
-    """`similarity` is the Jaccard threshold. Sets sample `branching` / (similarity * size) of their
+    """`similarity` is the Jaccard threshold in hundredths. Sets sample `branching` / (similarity * size) of their
     tokens per level, so that two similar sets share 1 - exp(-branching) samples or more; runs are
     repeated until a pair that needs all `levels` is found with probability `recall`."""
 
     n: int = 5
-    similarity: float = 0.8
+    similarity: int = 80
     recall: float = 0.999
     branching: float = 2.0
-    levels: int = 3
-    small: int = 64  # buckets up to this size are compared at once
+    levels: int = 2
+    small: int = 2048  # buckets up to this size are compared at once
     bins: int = 128  # bytes of a sketch
     slack: float = 0.16  # sketches estimate the similarity this far below the threshold, at worst
-    block: int = 2048  # sketches compared in one group
-    set_block: int = 192  # whole sets compared in one group
+    set_block: int = 192  # sets compared in one group
 
     @property
     def runs(self) -> int:
@@ -49,68 +47,21 @@ class Join:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - found))
 
 
-class TokenSets:
-    """The sets of distinct hashed n-grams of a slice of texts, in order of text and token.
-
-    A text of fewer words, but not none, has one n-gram made of all of them.
-    """
-
-    def __init__(self, column: pa.Array, n: int, table: np.ndarray = FOLDED_WORDS):
-        words = Words(column, table)
-        texts = len(words.count)
-        at, value = words.windows(n)
-        doc = words.doc[at]
-        brief = np.flatnonzero((words.count > 0) & (words.count < n))
-        last = words.first[brief] + words.count[brief] - 1
-        whole = np.zeros(len(brief), dtype=np.uint64)
-        for j in range(n - 1):
-            whole = np.where(j < words.count[brief], mix(whole ^ words.hash[np.minimum(words.first[brief] + j, last)]), whole)
-        doc, value = np.concatenate([doc, brief]), np.concatenate([value, whole])
-        keys = (doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (value >> np.uint64(64 - TOKEN_BITS))
-        keys.sort()
-        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-        self.doc = (keys >> np.uint64(TOKEN_BITS)).astype(np.int64)
-        self.token = keys & np.uint64((1 << TOKEN_BITS) - 1)
-        self.first = np.searchsorted(self.doc, np.arange(texts + 1))
-        self.size = np.diff(self.first)
-
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that name each set, whatever the order of its tokens."""
-        with np.errstate(over="ignore"):
-            return tuple(
-                mix(_run_sums(mix(self.token ^ np.uint64(salt)), self.first) ^ self.size.astype(np.uint64)).view(np.int64)
-                for salt in (0x51ED270B, 0xA24BAED4)
-            )
-
-    def sketches(self, bins: int) -> np.ndarray:
-        """One-permutation minwise sketches, a byte per bin; 0 marks an empty bin."""
-        out = np.zeros((len(self.size), bins), dtype=np.uint8)
-        byte = ((self.token >> np.uint64(16)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-        # tokens ascend inside a text, so the last one written from the back is the smallest
-        out[self.doc[::-1], (self.token % np.uint64(bins)).astype(np.int64)[::-1]] = byte[::-1]
-        return out
-
-    def samples(self, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, slot = run * levels + level, token) of the sampled tokens."""
-        share = np.minimum(join.branching / (join.similarity * np.maximum(self.size, 1)), 1.0)
-        limit = (share * float(2**63)).astype(np.uint64)[self.doc]
-        rng = np.random.default_rng(20)
-        doc, slot, token = [], [], []
-        for s in range(join.runs * join.levels):
-            salt, factor = (int(v) for v in rng.integers(1 << 62, 1 << 63, 2))
-            hit = np.flatnonzero(((self.token ^ np.uint64(salt)) * np.uint64(factor | 1)) >> np.uint64(1) <= limit)
-            doc.append(self.doc[hit])
-            token.append(self.token[hit])
-            slot.append(np.full(len(hit), s, dtype=np.int16))
-        doc, slot, token = np.concatenate(doc), np.concatenate(slot), np.concatenate(token)
-        order = np.argsort(doc, kind="stable")
-        return doc[order], slot[order], token[order]
-
-
-def _run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
+def samples(sets: TokenSets, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot = run * levels + level, token) of the sampled tokens."""
+    share = np.minimum(join.branching / (join.similarity / 100 * np.maximum(sets.size, 1)), 1.0)
+    limit = (share * float(2**63)).astype(np.uint64)[sets.doc]
+    rng = np.random.default_rng(20)
+    doc, slot, token = [], [], []
+    for s in range(join.runs * join.levels):
+        salt, factor = (int(v) for v in rng.integers(1 << 62, 1 << 63, 2))
+        hit = np.flatnonzero(((sets.token ^ np.uint64(salt)) * np.uint64(factor | 1)) >> np.uint64(1) <= limit)
+        doc.append(sets.doc[hit])
+        token.append(sets.token[hit])
+        slot.append(np.full(len(hit), s, dtype=np.int16))
+    doc, slot, token = np.concatenate(doc), np.concatenate(slot), np.concatenate(token)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], slot[order], token[order]
 
 
 def set_facts(docs: DataFrame, join: Join) -> DataFrame:
@@ -120,16 +71,16 @@ def set_facts(docs: DataFrame, join: Join) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = TokenSets(batch.column("text"), join.n)
         k1, k2 = sets.names()
-        doc, slot, token = sets.samples(join)
+        doc, slot, token = samples(sets, join)
         first = np.searchsorted(doc, np.arange(len(sets.size) + 1))
-        sketch = [row.tobytes() for row in sets.sketches(join.bins)]
+        sketch = [row.tobytes() for row in sketches(sets, join.bins)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sets.size, pa.int32()), pa.array(sketch, pa.binary()),
+            [batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(sets.size, pa.int64()), pa.array(sketch, pa.binary()),
              lists_of(token.astype(np.int64), first, pa.int64()), lists_of(slot, first, pa.int16())],
             ["doc_id", "k1", "k2", "n", "sketch", "tokens", "slots"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_slices(rows, work, "doc_id long, k1 long, k2 long, n int, sketch binary, tokens array<long>, slots array<short>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_slices(docs.select("doc_id", "text"), work, f"doc_id {kind}, k1 long, k2 long, n long, sketch binary, tokens array<long>, slots array<short>")
 
 
 def _sampled(reps: DataFrame, join: Join, level: int) -> DataFrame:
@@ -139,177 +90,19 @@ def _sampled(reps: DataFrame, join: Join, level: int) -> DataFrame:
     return pairs.where(slot % join.levels == level).select("rid", F.floor(slot / join.levels).alias("run"), F.col("s.tokens").alias("token"))
 
 
-def buckets(reps: DataFrame, join: Join) -> DataFrame:
-    """(node, rid, size): the buckets to be compared, with two members at least.
+def clusters(reps: DataFrame, join: Join) -> Clusters:
+    """The clusters of candidates of all sampled buckets."""
+    def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sketches_alike(n, m, x, y, join.similarity, join.slack)
 
-    A bucket above `small` is split by the next level's tokens unless one of them keeps four fifths
-    of it together: then its sets are alike and it is compared as it is, in blocks.
-    """
+    found = Clusters(reps.select("rid", "n", "sketch"), alike, join.small)
     nodes = _sampled(reps, join, 0).select(F.xxhash64("run", "token").alias("node"), "run", "rid")
-    done = []
     for level in range(join.levels):
-        nodes = cut_lineage(nodes)
-        sizes = cut_lineage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        rows = nodes.join(sizes, "node")
-        if level == join.levels - 1:
-            done.append(rows.select("node", "rid", "size"))
+        crowds = found.look(shared_buckets(nodes), last=level == join.levels - 1)
+        if crowds is None:
             break
-        done.append(rows.where(F.col("size") <= join.small).select("node", "rid", "size"))
-        large = rows.where(F.col("size") > join.small)
-        tokens = _sampled(reps, join, level + 1)
-        children = cut_lineage(
-            large.join(tokens, ["rid", "run"]).select("node", "size", "run", "rid", F.xxhash64("node", "token").alias("child"))
-        )
-        cohesive = (
-            children.groupBy("node", "child").agg(F.count(F.lit(1)).alias("_c"), F.first("size").alias("_s"))
-            .groupBy("node").agg((F.max("_c") >= 0.8 * F.first("_s")).alias("_alike")).where("_alike").select("node")
-        )
-        cohesive = cut_lineage(cohesive)
-        done.append(large.join(cohesive, "node", "left_semi").select("node", "rid", "size"))
-        nodes = children.join(cohesive, "node", "left_anti").select(F.col("child").alias("node"), "run", "rid")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def in_blocks(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
-    """Copy the members of large groups to the pairs of blocks they take part in (`_a` <= `_b`;
-    `_own` is the member's block). A group of up to `block` members is one pair, (0, 0)."""
-    blocks = F.ceil(F.col(size) / block)
-    own = F.pmod(F.xxhash64(F.col(member), F.col(key)), blocks)
-    spread = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return spread.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other")).drop("_other")
-
-
-def _spread_labels(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Join the groups that the links connect; `label` is each row's first row of its group."""
-    while True:
-        l, r = label[left], label[right]
-        if np.array_equal(l, r):
-            return label
-        low = np.minimum(l, r)
-        np.minimum.at(label, l, low)
-        np.minimum.at(label, r, low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-
-
-def candidate_links(rows: DataFrame, join: Join) -> DataFrame:
-    """(a, b): links that span, inside each bucket, what the sketches take for similar."""
-    least = join.similarity - join.slack
-    keys = ["node", "_a", "_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
-            starts = group_starts(table, keys)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            rid, n = table.column("rid").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(rid), -1)
-            label = np.arange(len(rid))
-            for gap in range(1, len(rid)):
-                i = np.flatnonzero(group[:-gap] == group[gap:])
-                if not len(i):
-                    break
-                j = i + gap
-                fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= join.similarity * np.maximum(n[i], n[j]) - 1e-9)
-                i, j = i[fits], j[fits]
-                if not len(i):
-                    continue
-                x, y = sketch[i], sketch[j]
-                same = ((x == y) & (x != 0)).sum(axis=1)
-                near = same >= least * ((x | y) != 0).sum(axis=1)
-                i, j = i[near], j[near]
-                if len(i):
-                    label = _spread_labels(label, i, j)
-            far = np.flatnonzero(label != np.arange(len(rid)))
-            if len(far):
-                yield pa.RecordBatch.from_arrays([pa.array(rid[label[far]]), pa.array(rid[far])], ["a", "b"])
-
-    dealt = rows.select(*keys, "rid", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, run, "a long, b long").distinct()
-
-
-def wanted_sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(k1, k2, doc_id, set) of the documents in `wanted` (k1, k2, first_doc), and a few by chance.
-
-    A Bloom filter of fixed size picks them in a pass over the texts; it lets no wanted one slip.
-    """
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_WORDS, dtype=np.uint64)
-        for b in batches:
-            at, mask = places(_name(b.column("k1").to_numpy(), b.column("first_doc").to_numpy()), FILTER_WORDS)
-            np.bitwise_or.at(bits, at, mask)
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bits[used].view(np.int64))], ["word", "bits"])
-
-    table = map_arrow(wanted, slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bloom = np.zeros(FILTER_WORDS, dtype=np.uint64)  # at most FILTER_WORDS rows came back
-    bloom[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = TokenSets(batch.column("text"), join.n)
-        k1, k2 = sets.names()
-        at, mask = places(_name(k1, batch.column("doc_id").to_numpy()), FILTER_WORDS)
-        hit = np.flatnonzero((shared.value[at] & mask) == mask)
-        chosen = np.isin(sets.doc, hit)
-        first = np.concatenate([[0], np.cumsum(sets.size[hit])])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(k1[hit]), pa.array(k2[hit]), batch.column("doc_id").take(pa.array(hit)),
-             lists_of(sets.token[chosen].view(np.int64), first, pa.int64())], ["k1", "k2", "doc_id", "set"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return map_slices(rows, work, "k1 long, k2 long, doc_id long, set array<long>")
-
-
-def _name(k1: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(k1.view(np.uint64) ^ mix(doc.astype(np.int64).view(np.uint64)))
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of token sets have at least that Jaccard similarity; exact, by counting common tokens."""
-    size = np.array([len(s) for s in sets], dtype=np.float64)
-    row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    common = np.zeros((len(sets), len(sets)))
-    wide = min(max(1024, (1 << 23) // len(sets)), int(column.max()) + 1)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, int(column[-1]) + 1, wide):
-        part = slice(*np.searchsorted(column, [low, low + wide]))
-        held = np.zeros((len(sets), wide), dtype=np.float32)
-        held[row[part], column[part] - low] = 1
-        common += held @ held.T
-    return common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
-
-
-def exact_links(rows: DataFrame, join: Join) -> DataFrame:
-    """(rid, links, root): per set and pair of blocks, the documents of the similar sets in the
-    other block, and a set that stands for those it is linked to."""
-    keys = ["cluster", "_a", "_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys, rows=1000):
-            starts = np.append(group_starts(table, keys), table.num_rows)
-            rid, copies = table.column("rid").to_numpy(), table.column("copies").to_numpy()
-            own, a, b = (table.column(c).to_numpy() for c in ("_own", "_a", "_b"))
-            lists = table.column("set").combine_chunks()
-            tokens, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            links, root = np.zeros(len(rid), dtype=np.int64), rid.copy()
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                if hi - lo < 2:
-                    continue
-                linked = similar([tokens[ends[i] : ends[i + 1]] for i in range(lo, hi)], join.similarity)
-                np.fill_diagonal(linked, False)
-                if a[lo] != b[lo]:
-                    linked &= own[lo:hi, None] != own[None, lo:hi]
-                links[lo:hi] = linked @ copies[lo:hi]
-                root[lo:hi] = rid[lo:hi][_spread_labels(np.arange(hi - lo), *np.nonzero(linked))]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(links), pa.array(root)], ["rid", "links", "root"])
-
-    dealt = rows.select(*keys, "_own", "rid", "copies", "set").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, run, "rid long, links long, root long")
+        nodes = crowds.join(_sampled(reps, join, level + 1), ["rid", "run"]).select(F.xxhash64("node", "token").alias("node"), "run", "rid")
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -321,8 +114,8 @@ def ngram_jaccard_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
     similarity. Documents with equal sets are one vertex with a count; pairs are never listed.
 
     A text without words, or null, has no links. A row without a doc_id has class_id null, no links, and
-    gives none to others. Rows that repeat a doc_id count as documents. An empty table gives none.
-    Other columns are ignored.
+    gives none to others. Rows that repeat a doc_id count as documents. doc_ids may be of any type that has an
+    order. An empty table gives none. Other columns are ignored.
     """
     facts = written(set_facts(docs, join), "sets")
     known = facts.where("n > 0 and doc_id is not null")
@@ -332,16 +125,7 @@ def ngram_jaccard_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
         .withColumn("rid", F.monotonically_increasing_id()),
         "reps",
     )
-    rows = in_blocks(buckets(reps, join).join(reps.select("rid", "n", "sketch"), "rid"), "node", "size", "rid", join.block)
-    clusters = components(candidate_links(rows, join)).withColumnRenamed("root", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = cut_lineage(
-        clusters.join(cut_lineage(sizes), "cluster")
-        .join(reps.select(F.col("rid").alias("id"), "k1", "k2", "first_doc", "copies"), "id").withColumnRenamed("id", "rid")
-    )
-    sets = wanted_sets(docs, members.select("k1", "first_doc"), join).dropDuplicates(["k1", "k2", "doc_id"])
-    sets = sets.withColumnRenamed("doc_id", "first_doc").join(members, ["k1", "k2", "first_doc"])
-    exact = cut_lineage(exact_links(in_blocks(sets, "cluster", "size", "rid", join.set_block), join))
+    exact = links_inside(docs, reps, clusters(reps, join), join.n, FOLDED_WORDS, join.similarity, join.set_block)
     counts = exact.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(exact.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     joined = (
