@@ -183,7 +183,54 @@ gains as (
 select doc_id, n_features, weight, score, case when fit and r <= 5 * (select count(*) from scored where fit) // 100 then r end as rank from placed
 """
 
+RULES_BASE = f"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(w[i : i + 2], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+), twice as (
+  select doc_id, i from windows where (doc_id, g) in (select doc_id, g from windows group by all having count(*) > 1)
+), covered as (
+  select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 3)) as k from twice) group by 1
+), counted as (
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: trim(x, {SPACE}) <> '') as lines, coalesce(n, 0) as n_repeat_words
+  from d left join covered using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+from counted
+"""
+
+# the table of OP13 over the digits of the id
+QUALITY_ROWS = """
+with crc as (
+  select list(list_reduce([b] || range(8), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) order by b) as tab from range(256) t(b)
+)
+select doc_id, xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+  lambda r, v: xor(r // 256, tab[1 + xor(r % 256, v)])), 4294967295) % 5 = 0 as held_out, true as follows
+from documents, crc
+"""
+
+SHARD_FACTS = """
+with crc as (
+  select list(list_reduce([b] || range(8), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) order by b) as tab from range(256) t(b)
+), d as (
+  select hex(encode(coalesce(text, ''))) as x from documents
+), whole as (
+  select cast(sum(length(x) // 2 + 1) as bigint) as sizes, count(*) as total, cast(sum(xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2),
+    lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda r, v: xor(r // 256, tab[1 + xor(r % 256, v)])), 4294967295)) as bigint) as checksums from d, crc
+)
+select t as shard, total // 8 + (t < total % 8)::bigint as n, 0::bigint as first_slot, total // 8 + (t < total % 8)::bigint - 1 as last_slot, total // 8 + (t < total % 8)::bigint as n_slots,
+  sizes, checksums, 0::bigint as grown, 'rows' as law
+from whole, range(8) r(t)
+"""
+
+TOKEN_TOTALS = "select doc_id, true as equal from documents"
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": OP1, "op2_warc": OP2, "op4_decontaminate": OP4, "op6_chat": OP6, "op7_ngram_join": OP7,
-            "op11_fill_middle": OP11, "op12_near_dedup": OP12, "op13_importance": OP13}
+            "op11_fill_middle": OP11, "op12_near_dedup": OP12, "op13_importance": OP13,
+            "rules_base": RULES_BASE, "quality_rows": QUALITY_ROWS, "shard_facts": SHARD_FACTS, "token_totals": TOKEN_TOTALS}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat, decontaminate, fill_middle, importance, line_dedup, linear, near_dedup, ngram_join, piece_fst, pieces, quality_model, quality_rules, sharding, token_counts, warc
 from pulsegrid.llm.arrow import shared_folder
+from pulsegrid.session import cut_lineage
 
 PIECE_FILE = os.environ.get("PIECE_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 REGISTRY = {}
@@ -124,3 +125,37 @@ def op12_near_dedup(spark, sf):
 @query
 def op13_importance(spark, sf):
     return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
+
+
+# ---- what SQL can say of the queries whose scores or places it cannot ----
+
+@query
+def rules_base(spark, sf):
+    """The columns of op5 that follow from counts."""
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return op5_quality_rules(spark, sf).select(*names)
+
+
+@query
+def quality_rows(spark, sf):
+    """Of op9: every document, whether it is held out, and that its prediction follows from a probability."""
+    follows = F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= 0.3).cast("int"))
+    return op9_quality_model(spark, sf).select("doc_id", "held_out", follows.alias("follows"))
+
+
+@query
+def shard_facts(spark, sf):
+    """Of op10: per shard its documents and the range and number of its slots; sizes and checksums of all, in all shards' rows."""
+    out = cut_lineage(op10_sharding(spark, sf))
+    whole = out.agg(F.sum("size").alias("sizes"), F.sum("text_crc32").alias("checksums"), F.count("grown_shard").alias("grown"), F.max("law").alias("law"))
+    per = out.groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"))
+    return per.withColumn("_", F.lit(1)).join(whole.withColumn("_", F.lit(1)), "_").drop("_")  # one row
+
+
+@query
+def token_totals(spark, sf):
+    """The tokens of op8 next to the ids of op3, per document."""
+    counted = op8_token_counts(spark, sf)
+    encoded = op3_sentencepiece(spark, sf).select("doc_id", F.col("n_tokens").alias("n_ids"))
+    return counted.join(encoded, "doc_id").select("doc_id", (F.col("n_tokens") == F.col("n_ids")).alias("equal"))

@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import itertools
+import pickle
 import random
 import re
 from collections import Counter as Bag
@@ -15,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from pulsegrid.llm import chat, decontaminate, line_dedup, linear, ngram_join, piece_fst, pieces, quality_model, quality_rules, queries, sharding, token_counts, warc
+from pulsegrid.llm import bloom, chat, decontaminate, exact_links, line_dedup, linear, ngram_join, piece_fst, pieces, quality_model, quality_rules, queries, sharding, token_counts, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,11 +47,35 @@ def test_lines_against_brute_force(spark, odd_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert Bag((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()) == want
     assert keeper and set(odd_docs.columns) <= set(out.columns)
-    full = line_dedup.dedup_lines(odd_docs, max_filter_words=2)  # a filter that knows everything
+    clashes = odd_docs.withColumns({c: F.lit(c) for c in ("mark", "gone", "owner", "note", "touched", "touched_", "__gone", "__doc", "hash")})
+    full = line_dedup.dedup_lines(clashes, most=3, range_bytes=64)  # many ranges, filters that are full at once, several rounds
     assert Bag((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in full.collect()) == want
+    assert full.select("mark", "touched_", "__doc").distinct().collect() == [("mark", "touched_", "__doc")]
     assert line_dedup.dedup_lines(odd_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 10, 1 << 14, 1 << 20])
+def test_few_lines_are_falsely_suspected(size):
+    """However small the filters are to begin with."""
+    rng = np.random.default_rng(1)
+    lines = rng.integers(0, 1 << 63, 400_000).astype(np.uint64)
+    filters = bloom.Twice(size)
+    found = np.concatenate([filters.add(part) for part in np.array_split(lines, 50)])
+    assert len(found) < 0.05 * len(lines)
+    again = np.concatenate([filters.add(part) for part in np.array_split(lines[:1000], 3)])
+    assert set(lines[:1000].tolist()) <= set(again.tolist()) | set(found.tolist()) and len(filters.add(lines[:1000])) == 0
+
+
+def test_texts_without_lost_lines_are_not_shuffled(spark):
+    rows = [(i, "own text of a document, of no interest to any other one, %d\n" % i * 40) for i in range(400)]
+    rows += [(1000 + i, "the line that five documents and more of them hold\nown %d" % i) for i in range(9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = line_dedup.dedup_lines(docs)
+    assert out.agg(F.sum("n_dropped")).first()[0] == 8 and out.count() == 409
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Join") == 1 and "Union" in joined
+
+
 # ---- 2: WARC ----
 
 def test_archives_round_trip(spark, tmp_path):
@@ -130,6 +155,36 @@ def test_unigram_counts_and_paths(texts):
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == want
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc_cf", "nfkc", "identity"])
+def test_character_maps_are_those_of_the_library(texts, tmp_path, rule):
+    model, norm = pb.ModelProto(), pb.ModelProto()
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    with open(queries.PIECE_FILE, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = norm.normalizer_spec.precompiled_charsmap
+    (tmp_path / "m").write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m"))
+    vocabulary = pieces.load_vocabulary(str(tmp_path / "m"))
+    odd = ["ＡＢＣ ﬁ ½ ｶﾞｷﾞ", "e\u0301a\u0300\u0323", "x\u3000y\u00a0z\u200b", "İSTANBUL ẞ", "가각힣", "\u00ad\u0007tab\there", "㌀㍿ ™", "é" * 50]
+    some = odd + texts[::7]
+    ids, first = piece_fst.Encoder(vocabulary).encode(some)
+    want = library.encode(some, num_threads=1)
+    for i, w in enumerate(want):
+        assert ids[first[i] : first[i + 1]].tolist() == w, some[i][:60]
+    assert token_counts.Counter(vocabulary).counts(some).tolist() == [len(w) for w in want]
+
+
+def test_counts_are_those_of_the_encoder(spark, texts):
+    vocabulary = pieces.load_vocabulary(queries.PIECE_FILE)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_FILE)
+    more = texts + [" " * n + w + " " * m for n in range(20) for m in (0, 1, 17) for w in ("", "日", "the", "x 日")]
+    got = token_counts.Counter(vocabulary).counts(more).tolist()
+    for text, n, want in zip(more, got, library.encode(more, num_threads=1)):
+        assert n == len(want), text[:80]
+    counts = {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, SF).collect()}
+    assert counts == {r.doc_id: r.n_tokens for r in queries.op3_sentencepiece(spark, SF).collect()}
+
+
 def test_counts_in_a_table(spark, odd_docs):
     out = token_counts.count_tokens(odd_docs, pieces.load_vocabulary(queries.PIECE_FILE))
     rows = {r.doc_id: r.n_tokens for r in out.collect()}
@@ -183,6 +238,22 @@ def test_parts_of_a_benchmark_are_bounded(spark, monkeypatch):
     assert len(seen) <= 2 * sum(sizes) / 4000 + 1
 
 
+def test_an_index_is_bounded_by_its_items():
+    rng = np.random.default_rng(1)
+    vocabulary = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(30_000)])
+    items, size = [], 0
+    while size < 32 << 20:
+        text = " ".join(vocabulary[rng.integers(0, 30_000, rng.integers(5, 3000))])
+        items.append((str(len(items)), text))
+        size += len(text)
+    held, matchers = decontaminate.index_items(items, 10)
+    assert len(pickle.dumps((held, matchers), protocol=5)) < 200e6
+    probe = " ".join(items[7][1].split()[5:15])
+    found = decontaminate._scan(pa.RecordBatch.from_pydict({
+        "text": [f"x {probe} y"], "hit_starts": pa.array([[]], pa.list_(pa.int32())), "hit_ends": pa.array([[]], pa.list_(pa.int32())), "hit_items": pa.array([[]], pa.list_(pa.string()))}), (held, matchers))
+    assert found["hit_items"].to_pylist() == [["7"]] and found["hit_starts"].to_pylist() == [[1]] and found["hit_ends"].to_pylist() == [[11]]
+
+
 # ---- 5 and 9: quality ----
 
 def test_base_counts_against_brute_force(odd_docs):
@@ -302,11 +373,35 @@ def test_join_against_brute_force(spark, odd_docs):
             low, high = sorted((find(a), find(b)))
             root[high] = low
     docs = spark.createDataFrame(rows, DOCS).withColumn("rid", F.lit(0)).withColumn("cluster", F.lit(0))
-    for join in (ngram_join.Join(), ngram_join.Join(block=64, set_block=32)):
+    for join in (ngram_join.Join(), ngram_join.Join(small=16, set_block=32), ngram_join.Join(small=8, set_block=450)):
         got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_jaccard_join(docs, join).collect()}
         assert got == {d: (find(d), links[d]) for d in sets}
 
 
+def test_copies_of_sets_grow_with_the_members(spark, monkeypatch):
+    """A group of near copies is compared with one of them, not each with each."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(250)]
+    moved = Bag()
+    for name in ("compared_links", "differences"):
+        whole = getattr(exact_links, name)
+        monkeypatch.setattr(exact_links, name, lambda rows, *a, whole=whole: moved.update({size[0]: rows.count()}) or whole(rows, *a))
+    seen, size = [], [0]
+    for n in (1000, 4000):
+        size[0] = n
+        docs = spark.createDataFrame([(i, " ".join(base[:-2] + [f"u{i}", f"v{i % 7}"])) for i in range(n)], DOCS).repartition(8)
+        out = ngram_join.ngram_jaccard_join(docs).select("class_id", "n_links").distinct().collect()
+        assert [tuple(r) for r in out] == [(0, n - 1)]
+        seen.append(moved[n])
+    assert 0 < seen[0] and seen[1] <= 4.5 * seen[0]
+
+
+def test_links_of_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five SIX"), (None, "one two three four five six")], "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got == {("a", "a", 1), ("b", "a", 1), (None, None, 0)}
+
+
 def test_join_of_odd_rows(spark, odd_docs):
     out = ngram_join.ngram_jaccard_join(odd_docs).collect()
     assert len(out) == odd_docs.count()
@@ -358,6 +453,70 @@ def test_groups_are_cut_by_the_quotas_alone(spark):
     assert held[0] == 3 and (held[1:] > 1).sum() <= 4
 
 
+def brute_rounds(links, kinds, shard, shards):
+    """The same rules, one document at a time."""
+    cuts = []
+    while True:
+        want = {}
+        for v in {a for a, _ in links}:
+            seen = Bag(shard[b] for a, b in links if a == v)
+            to = max(seen, key=lambda t: (seen[t], -t))
+            hub = min(b for a, b in links if a == v and shard[b] == to)
+            if to != shard[v]:
+                want[v] = (to, hub)
+        cuts.append(len(want))
+        if len(cuts) > 1 and cuts[-1] >= cuts[-2]:
+            return cuts
+        moved = False
+        for kind in set(kinds.values()):
+            counts = {}
+            for v, (to, hub) in want.items():
+                if kinds[v] == kind:
+                    counts.setdefault((shard[v], to), [0] * sharding.WISH_BUCKETS)[bucket[hub]] += 1
+            upto = sharding.granted(counts, shards)
+            into, out, taken = Bag(), Bag(), Bag()
+            blocks = max(16, -(-cuts[-1] // sharding.RANK_BLOCK))
+            for v in sorted(want, key=lambda v: (hashed[v] % blocks, v)):
+                to, hub = want[v]
+                if kinds[v] != kind or (shard[v], to) not in upto:
+                    continue
+                whole, rest = upto[shard[v], to]
+                taken[shard[v], to] += bucket[hub] == whole
+                if bucket[hub] < whole or (bucket[hub] == whole and taken[shard[v], to] <= rest):
+                    out[shard[v]] += 1
+                    into[to] += 1
+                    shard[v], moved = to, True
+            assert into == out  # quotas are kept
+        if not moved:
+            return cuts
+
+
+bucket, hashed = {}, {}
+
+
+def test_propagation_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = list(range(300))
+    links = sorted({(max(a, b), min(a, b)) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(400)) if a != b})  # any graph
+    links += [(i, i - i % 5) for i in range(300) if i % 5 and (i, i - i % 5) not in links]
+    kinds, shard = {v: 2 + v % 3 for v in rows}, {v: rng.randrange(4) for v in rows}
+    hashed.update({r.row: r.h for r in spark.createDataFrame([(v,) for v in rows], "row long").select("row", F.xxhash64("row").alias("h")).collect()})
+    bucket.update({v: h % sharding.WISH_BUCKETS for v, h in hashed.items()})
+    labels = spark.createDataFrame([(v, kinds[v], shard[v]) for v in rows], "row long, kind int, shard int")
+    got, open_ = sharding.propagate(labels, spark.createDataFrame(links, "row long, to long"), 4)
+    cuts = brute_rounds(links, kinds, shard, 4)
+    assert {r.row: r.shard for r in got.collect()} == shard and open_ == cuts
+
+
+def test_cut_edges_fall_each_round(spark):
+    docs = spark.range(20_000).selectExpr("id as row", "concat('g', id div 4) as grp", "4L as n")
+    cuts = []
+    out, room = sharding.linked_shards(docs, [2500] * 8, 20_000, cuts)
+    assert cuts[0] > 12_000 and cuts[-1] < 2_000 and all(a > b for a, b in zip(cuts, cuts[1:])) and room == [0] * 8
+    held = out.join(docs, "row").groupBy("grp").agg(F.countDistinct("shard").alias("k"))
+    assert held.where("k > 1").count() == 0
+
+
 # ---- pipeline and plans ----
 
 def test_pipeline_keeps_columns_and_clean_documents(spark):
@@ -376,4 +535,4 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
 @pytest.mark.parametrize("name", ["op6_chat", "op10_sharding"])
 def test_native_plans_have_no_python(spark, name):
     text = queries.REGISTRY[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in text for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoop"))
+    assert not any(x in text for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoop", "SinglePartition"))
