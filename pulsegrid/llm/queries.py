@@ -147,10 +147,10 @@ def quality_rows(spark, sf):
 def shard_facts(spark, sf):
     """Of op10: per shard its documents and the range and number of its slots; sizes and checksums of all, in all shards' rows."""
     out = cut_lineage(op10_sharding(spark, sf))
-    whole = out.agg(F.sum("size").alias("sizes"), F.sum("text_crc32").alias("checksums"), F.count("grown_shard").alias("grown"), F.max("law").alias("law"))
+    whole = out.agg(F.sum("size").alias("sizes"), F.sum("text_crc32").alias("checksums"), F.count("grown_shard").alias("grown"), F.max("law").alias("law")).first()
     per = out.groupBy(F.col("shard").cast("long").alias("shard")).agg(
         F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"))
-    return per.withColumn("_", F.lit(1)).join(whole.withColumn("_", F.lit(1)), "_").drop("_")  # one row
+    return per.select("*", *[F.lit(v).cast("string" if c == "law" else "long").alias(c) for c, v in whole.asDict().items()])
 
 
 @query
