@@ -370,13 +370,12 @@ SQL: dict[str, str] = {
     "annotation_clean": """select record, ann_pos, onset::bigint as onset,
         case when ann_pos % 7 <> 0 then duration::bigint end as duration,
         case when ann_pos % 4 <> 0 then generalization::bigint else 0 end as generalization from ann where ann_pos % 10 <> 0""",
-    "dead_letters": """with n as (
+    "dead_letters": """select 'row' as kind, record as place, ann_pos as "position", concat(o, ' | ', coalesce(d, ''), ' | ', description) as content,
+          case when o = '' then 'no onset' when o = 'n/a' then 'onset is not a number' when d is null then 'no duration' else 'duration is not a number' end as reason
+        from (
           select record, ann_pos, description, case when ann_pos % 10 = 0 then 'n/a' when ann_pos % 13 = 0 then '' else cast(onset as varchar) end as o,
             case when ann_pos % 7 = 0 then '?' when ann_pos % 11 <> 0 then cast(duration as varchar) end as d from ann
-        )
-        select 'row' as kind, record as place, ann_pos as "position", concat(o, ' | ', coalesce(d, ''), ' | ', description) as content,
-          case when o = '' then 'no onset' when o = 'n/a' then 'onset is not a number' when d is null then 'no duration' else 'duration is not a number' end as reason
-        from n where o in ('', 'n/a') or d is null or d = '?'""",
+        ) where o in ('', 'n/a') or d is null or d = '?'""",
     "record_annotations": """select r.record, a.ann_pos, a.onset::bigint as onset, a.duration::bigint as duration from (select distinct record as rec,
         concat(record, case when record like '%2' then '_b_1Hz' else '_1Hz' end) as record from sig) r
         left join ann a on a.record = r.rec and r.record not like '%_b_1Hz'""",
