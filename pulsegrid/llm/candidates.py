@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.arrow import group_starts, map_arrow, whole_groups, written
 from pulsegrid.llm.token_sets import TokenSets
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_lineage, in_few_tasks
 
 BLOCK = 2048  # members of a crowd that are compared in one group, where nothing splits it any more
 
@@ -51,7 +51,7 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """The rows (node, rid, ...) of buckets with two members at least."""
     several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node")
-    return written(nodes.join(several, "node"), "buckets")
+    return written(in_few_tasks(nodes.join(several, "node")), "buckets")
 
 
 def mixed_nodes(nodes: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def star_links(rows: DataFrame, facts: DataFrame, alike: Alike) -> DataFrame:
                 near = np.flatnonzero(alike(n, m, _bytes(b.column("sketch")), _bytes(b.column("of_center"))))
                 yield pa.RecordBatch.from_arrays([pa.array(rid[near]), pa.array(center[near])], ["a", "b"])
 
-    return map_arrow(pairs.join(other.hint("merge"), "center"), run, "a long, b long")
+    return map_arrow(in_few_tasks(pairs.join(other.hint("merge"), "center")), run, "a long, b long")
 
 
 def spread_labels(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def group_links(rows: DataFrame, alike: Alike) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rid[label[moved]]), pa.array(rid[moved])], ["a", "b"])
 
     dealt = rows.select(*keys, "rid", "label", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(in_few_tasks(dealt), run, "a long, b long").distinct()
 
 
 @dataclass
@@ -166,25 +166,27 @@ class Clusters:
         return nodes.join(self.labels.hint("merge"), F.col("rid") == F.col("id"), "left").withColumn("label", F.coalesce("label", "rid")).drop("id")
 
     def _add(self, links: DataFrame, relabel: bool) -> None:
-        self.links = cut_lineage(links if self.links is None else links.unionByName(self.links))
+        self.links = cut_lineage(in_few_tasks(links if self.links is None else links.unionByName(self.links)))
         if not relabel:
             return
         ends = self.links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("label")).where("id <> label")
         near = ends.groupBy("id").agg(F.min("label").alias("label"))
         far = near.select(F.col("id").alias("label"), F.col("label").alias("_next"))  # two steps down
-        self.labels = cut_lineage(near.join(far.hint("merge"), "label", "left").select("id", F.coalesce("_next", "label").alias("label")))
+        self.labels = cut_lineage(in_few_tasks(near.join(far.hint("merge"), "label", "left").select("id", F.coalesce("_next", "label").alias("label"))))
 
     def look(self, buckets: DataFrame, last: bool = False) -> DataFrame | None:
-        """Take in the pairs of all `buckets` (node, rid, ...). Crowds, which are large and of many clusters, are
+        """Take in the pairs of all `buckets` (node, rid, ...), which may hold members alone. Crowds, which are large and of many clusters, are
         returned to be dealt anew, None if there are none; in the `last` look they are compared in pairs of blocks."""
         columns = buckets.columns
-        live = cut_lineage(mixed_nodes(self.labelled(buckets)))
+        if self.labels is not None:  # without labels, buckets of one member are those of one label
+            buckets = shared_buckets(buckets)
+        live = cut_lineage(in_few_tasks(mixed_nodes(self.labelled(buckets))))
         self._add(star_links(live.where(F.col("label") != F.col("center.label")), self.facts, self.alike), relabel=True)
-        groups, crowds = parted(cut_lineage(mixed_nodes(self.labelled(live.select(*columns))).drop("center")), self.small)
+        groups, crowds = parted(cut_lineage(in_few_tasks(mixed_nodes(self.labelled(live.select(*columns))).drop("center"))), self.small)
         if last:
             groups = groups.unionByName(in_pairs_of_blocks(crowds))
         self._add(group_links(groups.join(self.facts.hint("merge"), "rid"), self.alike), relabel=False)
         if last:
             return None
-        crowds = cut_lineage(crowds.select(*columns))
+        crowds = cut_lineage(in_few_tasks(crowds.select(*columns)))
         return None if crowds.isEmpty() else crowds

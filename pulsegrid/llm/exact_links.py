@@ -14,7 +14,7 @@ from pulsegrid.llm.arrow import group_starts, map_arrow, whole_groups, written
 from pulsegrid.llm.candidates import Clusters, spread_labels
 from pulsegrid.llm.components import components
 from pulsegrid.llm.token_sets import fetch_sets
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_lineage, in_few_tasks
 
 
 def excess(difference: Column, n: Column, similarity: int) -> Column:
@@ -98,7 +98,7 @@ def compared_links(rows: DataFrame, similarity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(links), pa.array(root)], ["rid", "links", "root"])
 
     dealt = rows.select(*keys, "rid", "copies", "excess", "n", "left", "right", "wide", "delta").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, run, "rid long, links long, root long")
+    return map_arrow(in_few_tasks(dealt), run, "rid long, links long, root long")
 
 
 def in_wide_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -129,12 +129,12 @@ def exact_links(members: DataFrame, sets: DataFrame, degrees: DataFrame, similar
     small = small.withColumnRenamed("set", "delta").withColumns({
         "excess": F.lit(1).cast("long"), "part": F.lit(0).cast("long"), "left": F.lit(1), "right": F.lit(1), "wide": F.lit(1)})
     out = compared_links(small, similarity)
-    large = cut_lineage(members.where(F.col("size") > block))
+    large = cut_lineage(in_few_tasks(members.where(F.col("size") > block)))
     if large.isEmpty():
         return out
     best = large.select("cluster", "rid").join(degrees, "rid", "left")
     pivots = best.groupBy("cluster").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), -F.col("rid"))).alias("_b")).select("cluster", (-F.col("_b.col2")).alias("pivot"))
-    rows = written(differences(large, sets, cut_lineage(pivots), similarity), "differences")
+    rows = written(in_few_tasks(differences(large, sets, cut_lineage(in_few_tasks(pivots)), similarity)), "differences")
     compared = compared_links(in_wide_blocks(rows, block), similarity)
     return out.unionByName(sure_links(rows)).unionByName(compared)
 
@@ -144,7 +144,7 @@ def links_inside(docs: DataFrame, reps: DataFrame, found: Clusters, n: int, tabl
     clusters = components(found.links).withColumnRenamed("root", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     named = reps.select(F.col("rid").alias("id"), "k1", "k2", "n", "first_doc", "copies")
-    members = cut_lineage(clusters.join(sizes, "cluster").join(named, "id").withColumnRenamed("id", "rid"))
-    sets = written(fetch_sets(docs, members.select("rid", "k1", "k2", "first_doc"), n, table), "members")
+    members = cut_lineage(in_few_tasks(clusters.join(sizes, "cluster").join(named, "id").withColumnRenamed("id", "rid")))
+    sets = written(in_few_tasks(fetch_sets(docs, members.select("rid", "k1", "k2", "first_doc"), n, table)), "members")
     degrees = found.links.select(F.col("b").alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
-    return cut_lineage(exact_links(members.select("cluster", "size", "rid", "n", "copies"), sets, degrees, similarity, block))
+    return cut_lineage(in_few_tasks(exact_links(members.select("cluster", "size", "rid", "n", "copies"), sets, degrees, similarity, block)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.arrow import SPACED_FOLDED_WORDS, map_slices, mix, written
-from pulsegrid.llm.candidates import Clusters, shared_buckets, sketches, sketches_alike
+from pulsegrid.llm.candidates import Clusters, sketches, sketches_alike
 from pulsegrid.llm.components import components
 from pulsegrid.llm.exact_links import links_inside
 from pulsegrid.llm.token_sets import TokenSets
@@ -116,10 +116,10 @@ def clusters(reps: DataFrame, plan: Nearness) -> Clusters:
 
     found = Clusters(reps.select("rid", "n", "sketch"), alike, plan.small)
     keys = reps.select("rid", F.explode(chunk_keys()).alias("k")).select(F.col("k.key").alias("node"), "rid", F.col("k.chunk").alias("chunk"))
-    crowds = found.look(shared_buckets(keys))
+    crowds = found.look(keys)
     if crowds is not None:
         again = crowds.join(reps.select("rid", *_CHUNK_NAMES), "rid").withColumn("k", F.explode(second_keys()))
-        found.look(shared_buckets(again.where("k.chunk <> chunk").select(F.xxhash64("node", "k.key").alias("node"), "rid")), last=True)
+        found.look(again.where("k.chunk <> chunk").select(F.xxhash64("node", "k.key").alias("node"), "rid"), last=True)
     return found
 
 

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.arrow import FOLDED_WORDS, lists_of, map_slices, written
-from pulsegrid.llm.candidates import Clusters, shared_buckets, sketches, sketches_alike
+from pulsegrid.llm.candidates import Clusters, sketches, sketches_alike
 from pulsegrid.llm.components import components
 from pulsegrid.llm.exact_links import links_inside
 from pulsegrid.llm.token_sets import TokenSets
-from pulsegrid.session import cut_lineage
+from pulsegrid.session import cut_lineage, in_few_tasks
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def clusters(reps: DataFrame, join: Join) -> Clusters:
     found = Clusters(reps.select("rid", "n", "sketch"), alike, join.small)
     nodes = _sampled(reps, join, 0).select(F.xxhash64("run", "token").alias("node"), "run", "rid")
     for level in range(join.levels):
-        crowds = found.look(shared_buckets(nodes), last=level == join.levels - 1)
+        crowds = found.look(nodes, last=level == join.levels - 1)
         if crowds is None:
             break
         nodes = crowds.join(_sampled(reps, join, level + 1), ["rid", "run"]).select(F.xxhash64("node", "token").alias("node"), "run", "rid")
@@ -119,12 +119,10 @@ def ngram_jaccard_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """
     facts = written(set_facts(docs, join), "sets")
     known = facts.where("n > 0 and doc_id is not null")
-    reps = written(
-        known.groupBy("k1", "k2", "n")
-        .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("sketch", "tokens", "slots")])
-        .withColumn("rid", F.monotonically_increasing_id()),
-        "reps",
+    named = known.groupBy("k1", "k2", "n").agg(
+        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("sketch", "tokens", "slots")]
     )
+    reps = written(in_few_tasks(named).withColumn("rid", F.monotonically_increasing_id()), "reps")
     exact = links_inside(docs, reps, clusters(reps, join), join.n, FOLDED_WORDS, join.similarity, join.set_block)
     counts = exact.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(exact.select(F.col("rid").alias("a"), F.col("root").alias("b")))
@@ -133,9 +131,9 @@ def ngram_jaccard_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
         .join(roots, F.col("rid") == F.col("id"), "left")
         .select("k1", "k2", "first_doc", F.coalesce("root", "rid").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    joined = cut_lineage(joined)
-    lowest = cut_lineage(joined.groupBy("root").agg(F.min("first_doc").alias("class_id")))
-    classes = cut_lineage(joined.join(lowest, "root").select("k1", "k2", "class_id", "n_links"))
+    joined = cut_lineage(in_few_tasks(joined))
+    lowest = cut_lineage(in_few_tasks(joined.groupBy("root").agg(F.min("first_doc").alias("class_id"))))
+    classes = cut_lineage(in_few_tasks(joined.join(lowest, "root").select("k1", "k2", "class_id", "n_links")))
     linked = known.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
     alone = facts.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
